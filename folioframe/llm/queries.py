@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioframe.llm.decontam import find_contamination
 from folioframe.llm.mixing import mix
+from folioframe.llm.neardup import near_duplicates
+from folioframe.llm.quality import classify_quality
 from folioframe.llm.substrings import dedup_substrings
+from folioframe.llm.suffix_tree import score_texts
 from folioframe.llm.url_filter import host_rule, judge_urls
 
 
@@ -15,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
 URL_RULES = [
     host_rule("allow", "com"),
     host_rule("block", "example.com", "/en/"),
@@ -32,12 +44,33 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op5_substring_dedup, op10_source_mix)}
+    found = (
+        op1_quality_classifier,
+        op3_url_filter,
+        op5_substring_dedup,
+        op6_decontamination,
+        op7_near_dedup,
+        op9_lm_scoring,
+        op10_source_mix,
+    )
+    return {f.__name__: f for f in found}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

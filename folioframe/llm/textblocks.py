@@ -24,6 +24,7 @@ LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD1342543DE82EF95)
 _SPAN = 1 << 20
+MOST_DOCUMENTS = 50_000  # in a chunk, so that 16 bits number them
 
 
 def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +99,7 @@ def doc_ranges(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, max(hi, lo + 1), lo + MOST_DOCUMENTS)
         yield lo, hi
         lo = hi
 
