@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioframe.llm.decontam import find_contamination
+from folioframe.llm.embeddings import embedding_duplicates
+from folioframe.llm.html_text import extract_pages
+from folioframe.llm.langid import identify_languages
 from folioframe.llm.mixing import mix
 from folioframe.llm.neardup import near_duplicates
 from folioframe.llm.quality import classify_quality
@@ -27,6 +30,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 URL_RULES = [
     host_rule("allow", "com"),
     host_rule("block", "example.com", "/en/"),
@@ -40,6 +47,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -52,6 +63,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
@@ -63,10 +78,13 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier,
+        op2_html_extraction,
         op3_url_filter,
+        op4_language_id,
         op5_substring_dedup,
         op6_decontamination,
         op7_near_dedup,
+        op8_embedding_dedup,
         op9_lm_scoring,
         op10_source_mix,
     )
