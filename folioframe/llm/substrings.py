@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.llm.filters import without
 from folioframe.llm.scratch import Scratch, cut
 from folioframe.llm.textblocks import Words, as_long, chunks, mix, prefix_sums, sequence_hashes
 
@@ -218,3 +219,45 @@ def dedup_substrings(
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(out)])
 
     return texts.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(emit, schema)
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = KGRAM) -> DataFrame:
+    """``docs`` with the repeated words cut out of the text; documents left without a word go.
+
+    White space stays as it is outside of what is cut out; texts without repeats do not
+    change. ``n_chars``, where there is such a column, follows the new text. Only documents
+    with repeats pass through Python.
+    """
+    marks = repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, k=k).groupBy("doc_id")
+    marks = cut(marks.agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    edited = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(marks, "doc_id")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept: list[str | None] = []
+            for words in chunks(batch.column(1), hashes=False):
+                for i in range(words.hi - words.lo):
+                    lo, hi = int(words.offsets[i]), int(words.offsets[i + 1])
+                    gone = removed_words(hi - lo, batch.column(2)[words.lo + i].as_py())
+                    kept.append(None if gone.all() else _cut_out(words, i, gone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["edited_id", "edited_text"])
+
+    edited = cut(edited.select("doc_id", "text", "spans").dropDuplicates(["doc_id"]).mapInArrow(emit, "edited_id long, edited_text string"))
+    untouched = without(docs, edited.select(F.col("edited_id").alias("bad_id")), id_col)
+    changed = docs.join(edited.where("edited_text is not null"), docs[id_col].cast("long") == F.col("edited_id"))
+    columns = []
+    for c in docs.columns:
+        value = F.col("edited_text") if c == text_col else F.length("edited_text") if c == "n_chars" else docs[c]
+        columns.append(value.cast(docs.schema[c].dataType).alias(c))
+    return untouched.unionByName(changed.select(columns))
+
+
+def _cut_out(words: Words, i: int, gone: np.ndarray) -> str:
+    """Document ``i`` without the words marked as gone, and without the white space after each."""
+    lo, hi = int(words.offsets[i]), int(words.offsets[i + 1])
+    starts, ends = words.starts[lo:hi], np.append(words.starts[lo + 1 : hi], words.doc_bytes[i + 1])
+    keep = np.ones(int(words.doc_bytes[i + 1] - words.doc_bytes[i]), bool)
+    base = words.doc_bytes[i]
+    for s, e in zip(starts[gone] - base, ends[gone] - base, strict=True):
+        keep[s:e] = False
+    return words.data[base : words.doc_bytes[i + 1]][keep].tobytes().decode("utf-8", "replace")
