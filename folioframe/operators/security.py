@@ -165,10 +165,12 @@ def contents_misplaced(content: Column, r: Column) -> Column:
 
 
 def revisions(files: DataFrame) -> DataFrame:
-    """``file_id, revision, end``: where each ``%%EOF`` ends; a revision is the file up to there."""
+    """``file_id, revision, end``: where each ``%%EOF`` ends, with its line end; a revision is the file up to there."""
     text = F.decode("content", "ISO-8859-1")
     parts = F.split(text, "%%EOF")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, s: a + F.length(s) + 5))
+    line_end = lambda s: F.length(F.regexp_extract(s, r"^(\r\n|\r|\n)?", 0))
+    mark = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, s: a + F.length(s) + 5) + line_end(F.get(parts, i))
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), mark)
     some = files.where(F.contains(text, F.lit("%%EOF")))
     return some.select("file_id", F.posexplode(ends).alias("revision", "end"))
 

@@ -29,8 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def built(rows: DataFrame, build: Callable[[dict[str, Any]], bytes]) -> DataFrame:
-    """Files from rows; ``file_id`` is the row's first column."""
+    """Files from rows; ``file_id`` is the row's first column. Rows are dealt out first, as building costs more than moving them."""
     key = rows.columns[0]
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
