@@ -211,3 +211,13 @@ def test_forms_and_sizes():
     assert estimated_size({"A": [1, b"xy"]}) == 8 + 1 + 4 + 8 + 16 + 6
     assert estimated_size(Stream({}, b"abc")) == 67
     assert math.isclose(cos.number(3), 3.0) and cos.number(True) is None
+
+
+def test_blank_files():
+    from folioframe.functions.building import blank_file
+
+    pdf = load(blank_file("letter", 3, "1.4"))
+    assert pdf.version == "1.4" and [p.media_box for p in pdf.pages()] == [[0, 0, 612, 792]] * 3
+    assert load(blank_file((10.5, 20), 0)).pages() == []
+    with pytest.raises(ValueError):
+        blank_file((0, 1))
