@@ -118,7 +118,7 @@ def decrypt_streams(objects: DataFrame, keys: DataFrame) -> DataFrame:
         1,
         16,
     )
-    rc4_udf = F.udf(lambda k, d, n: rc4(bytes(k)[: min(16, n + 5)], bytes(d)) if d is not None else None, "binary")
+    rc4_udf = F.udf(lambda k, d, n: rc4(bytes(k)[: min(16, n + 5)], bytes(d)) if None not in (k, d) else None, "binary")
     joined = objects.join(keys, "file_id", "left")
     by_rc4 = rc4_udf(salted([]), "raw", F.octet_length("key"))
     by_aes = F.try_aes_decrypt("raw", salted([F.lit(b"sAlT")]), F.lit("CBC"), F.lit("PKCS"))
