@@ -132,5 +132,56 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+LOWER_WORDS = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+
+def shingle_sql(table_name: str, key: str, k: int) -> str:
+    """Distinct shingles of ``k`` words; of fewer words, the whole sequence."""
+    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(ws) >= {k} THEN list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k} - 1], ' '))
+      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM (SELECT {key}, {LOWER_WORDS} AS ws FROM {table_name})"""
+
+
+OP6_SQL = f"""
+WITH d AS ({shingle_sql("documents", "doc_id", 5)}), b AS ({shingle_sql("benchmark", "item_id", 5)}),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item FROM d JOIN b USING (sh) JOIN n USING (item_id)
+GROUP BY 1, 2 HAVING count(*) * 100 >= 80 * any_value(n_item)
+"""
+
+REACH = """reach(a, b) AS (SELECT id, id FROM ids UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)"""
+
+OP7_SQL = f"""
+WITH RECURSIVE s AS MATERIALIZED ({shingle_sql("documents", "doc_id", 2)}),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (sh) JOIN n m ON m.doc_id = x.doc_id JOIN n o ON o.doc_id = y.doc_id
+  WHERE x.doc_id <> y.doc_id AND m.n * 100 >= 80 * o.n AND o.n * 100 >= 80 * m.n
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(m.n) + any_value(o.n) - count(*))),
+ids AS (SELECT DISTINCT a AS id FROM links), {REACH},
+c AS (SELECT a, min(b) AS component FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id
+"""
+
+OP8_SQL = f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1),
+ids AS (SELECT a AS id FROM n), {REACH},
+c AS (SELECT a, min(b) AS component FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op5_substring_dedup": OP5_SQL}
+    return {
+        "op3_url_filter": OP3_SQL,
+        "op5_substring_dedup": OP5_SQL,
+        "op6_decontamination": OP6_SQL,
+        "op7_near_dedup": OP7_SQL,
+        "op8_embedding_dedup": OP8_SQL,
+    }
