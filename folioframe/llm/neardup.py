@@ -2,16 +2,17 @@
 
 1. Each text becomes a set of word shingles with a signature of 200 minima. Texts with
    equal sets form a class at once; only its smallest document goes on.
-2. Signatures are cut into 40 bands of 5. Within a bucket each member is paired with the
-   smallest member, not with all others.
+2. Signatures are cut into 40 bands of 5. Within a bucket each member is paired with one
+   centre, picked by hash, not with all others; over the bands a large group has up to 40.
 3. Pairs are verified in sequence: signatures are compared 20 values at a time, and a pair
    is pruned as soon as the posterior probability of reaching the threshold, given the
    matches so far and a uniform prior, falls below the miss probability. Survivors are
    verified exactly on full sets.
 4. Links give components. Buckets that still hold more than one component are compared
-   in blocks, across components only, by the same sequence; a pair within a component can
-   add nothing. So no link between different texts that shares a band is lost, while a
-   large group of near copies costs one pair a member.
+   in blocks, across components only, by the same sequence of tests; a pair within a
+   component can add nothing. These pairs are never written out: only links leave the
+   task. So no link between different texts that shares a band is lost, while a large
+   group of near copies costs up to 40 pairs a member.
 
 At similarity 0.8 a pair shares no band with probability 1.3e-7.
 
@@ -38,7 +39,7 @@ from folioframe.llm.textblocks import Words, as_long, chunks, mix, sequence_hash
 
 BANDS, ROWS, BATCH = 40, 5, 20
 HASHES = BANDS * ROWS
-BLOCK = 1000
+BLOCK = 500
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -141,7 +142,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 keys = mix(keys ^ signs[:, :, r])
             ids = np.repeat(part.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([as_long(keys.ravel()), pa.array(ids)], ["band", "doc_id"])
+            number = np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)
+            yield pa.RecordBatch.from_arrays([as_long(keys.ravel()), pa.array(number), pa.array(ids)], ["band", "band_no", "doc_id"])
 
 
 def _pruned(bounds: list[tuple[int, int]]):
@@ -157,26 +159,50 @@ def _pruned(bounds: list[tuple[int, int]]):
     return emit
 
 
-def _across(bounds: list[tuple[int, int]]):
-    """Pairs in play between components, of sorted rows band, i, j, block, doc_id, component, sign."""
+def _across(bounds: list[tuple[int, int]], k: int, percent: int):
+    """Links between components, of sorted rows band, i, j, band_no, block, doc_id, component, sign, text.
+
+    Pairs are pruned and verified here and only links leave. A pair is looked at in its
+    first common band alone, and not once its documents are in one component.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["band", "i", "j"]):
-            block = group["block"].to_numpy()
-            ids, component, signs = group["doc_id"].to_numpy(), group["component"].to_numpy(), _signatures(group["sign"])
+            block, ids, component = (group[c].to_numpy().copy() for c in ("block", "doc_id", "component"))
+            signs, number = _signatures(group["sign"]), group["band_no"][0].as_py()
+            sets = [s for w in chunks(group["text"], lower=True) for s in shingle_sets(w, k)]
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            a, b = [], []
             for x in left:
-                others = right[(component[right] != component[x]) & ((ids[right] > ids[x]) if i == j else True)]
-                if len(others):
-                    alive = others[survive(np.broadcast_to(signs[x], (len(others), HASHES)), signs[others], bounds)]
-                    if len(alive):
-                        a, b = np.full(len(alive), ids[x]), ids[alive]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                others = right[component[right] != component[x]]
+                others = others[ids[others] > ids[x]] if i == j else others
+                if not len(others):
+                    continue
+                others = others[survive(np.broadcast_to(signs[x], (len(others), HASHES)), signs[others], bounds)]
+                same = (signs[others] == signs[x]).reshape(-1, BANDS, ROWS).all(axis=2)
+                others = others[same.argmax(axis=1) == number]
+                for y in others[_similar(sets[x], [sets[o] for o in others], percent)] if len(others) else []:
+                    if component[y] != component[x]:
+                        a.append(min(ids[x], ids[y]))
+                        b.append(max(ids[x], ids[y]))
+                        component[component == component[y]] = component[x]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return emit
 
 
+def _similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sorted sets ``others`` reach the similarity with ``one``, exactly."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    at = np.searchsorted(one, flat)
+    at[at == len(one)] = 0
+    both = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(one) + sizes - both)
+
+
 def _exact(k: int, percent: int):
     """Columns a, b, text_a, text_b: the pairs whose full sets reach the threshold."""
 
@@ -229,39 +255,39 @@ def near_duplicates(
         sets = sketches.where("n_shingles > 0 and doc_id is not null")
         classes = cut(sets.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("head")))
         heads = sets.join(classes.select("head"), F.col("doc_id") == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
-        banded = heads.select("doc_id", "sign").mapInArrow(_bands, "band long, doc_id long")
-        buckets = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("members")).where("members > 1")
+        banded = heads.select("doc_id", "sign").mapInArrow(_bands, "band long, band_no int, doc_id long")
+        centre = F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("centre")
+        buckets = banded.groupBy("band").agg(centre, F.count("*").alias("members")).where("members > 1")
         buckets = scratch.put(buckets, "buckets")
-        members = scratch.put(banded.join(buckets, "band").select("band", "doc_id", "a", "members"), "members")
+        members = scratch.put(banded.join(buckets, "band").select("band", "band_no", "doc_id", "centre", "members"), "members")
         wanted = members.select("doc_id").distinct()
-        signs = scratch.put(heads.select("doc_id", "sign").join(wanted, "doc_id"), "signs")
-        bodies = scratch.put(texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "bodies")
-
-        def side(frame: DataFrame, name: str, value: str) -> DataFrame:
-            return frame.select(F.col("doc_id").alias(name), F.col(value).alias(f"{value}_{name}"))
+        known = heads.select("doc_id", "sign").join(wanted, "doc_id").join(texts, "doc_id").dropDuplicates(["doc_id"])
+        known = scratch.put(known, "known")
 
-        def verified(pairs: DataFrame, name: str) -> DataFrame:
-            full = pairs.join(side(bodies, "a", "text"), "a").join(side(bodies, "b", "text"), "b")
-            return scratch.put(full.select("a", "b", "text_a", "text_b").mapInArrow(_exact(shingle, percent), pair_type), name)
+        def side(name: str, value: str) -> DataFrame:
+            return known.select(F.col("doc_id").alias(name), F.col(value).alias(f"{value}_{name}"))
 
-        stars = members.where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-        signed = stars.join(side(signs, "a", "sign"), "a").join(side(signs, "b", "sign"), "b")
+        ends = F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")
+        stars = members.where("doc_id <> centre").select(*ends).distinct()
+        signed = stars.join(side("a", "sign"), "a").join(side("b", "sign"), "b")
         played = signed.select("a", "b", "sign_a", "sign_b").mapInArrow(_pruned(bounds), pair_type)
-        links = verified(played, "links")
+        full = played.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
+        links = scratch.put(full.mapInArrow(_exact(shingle, percent), pair_type), "links")
         found = connected_components(links)
 
         placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         blocks = F.ceil(F.col("members") / BLOCK)
-        rows = placed.join(mixed.select("band"), "band").join(signs, "doc_id")
+        rows = placed.join(mixed.select("band"), "band")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-        rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "sign")
+        i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        rows = rows.join(known, "doc_id").select("band", i, j, "band_no", "block", "doc_id", "component", "sign", "text")
         rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-        crossing = scratch.put(rows.mapInArrow(_across(bounds), pair_type).distinct(), "crossing")
-        links = links.unionByName(verified(crossing, "more_links"))
-        found = connected_components(links)
+        more = scratch.put(rows.mapInArrow(_across(bounds, shingle, percent), pair_type), "crossing")
+        if not more.isEmpty():
+            found = connected_components(links.unionByName(more))
 
         component = F.coalesce("component", "head", "doc_id").alias("component_id")
         by_class = classes.join(found, F.col("head") == F.col("node"), "left").select("one", "two", "n_shingles", "head", "component")
