@@ -108,27 +108,28 @@ def mix(
         F.when(F.col("size") > 0, F.struct(f.alias("finish"), "rank", "place", "doc_id", "size", F.lit(i).alias("copy")))
         for i, f in enumerate(finish)
     ]
-    limit = F.broadcast(_last_taken(placed, keys, budget))  # one row
-    for key in keys:
-        taken = taken + F.when(key <= F.col("last"), F.col("size")).otherwise(0)
-    return placed.join(limit, how="left").select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    last = _last_taken(placed, keys, budget)
+    for key in keys if last is not None else []:
+        taken = taken + F.when(key <= last, F.col("size")).otherwise(0)
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
-def _last_taken(placed: DataFrame, keys: list[Column], budget: float) -> DataFrame:
-    """One row: the key of the last copy, in order of finish time, that fits the total budget."""
+def _last_taken(placed: DataFrame, keys: list[Column], budget: float) -> Column | None:
+    """The key of the last copy, in order of finish time, that fits the total budget; one row reaches the driver."""
     copies = placed.select(F.explode(F.array(*keys)).alias("key")).where(F.col("key").isNotNull())
-    slot = F.least(F.floor(F.col("key.finish") * (1 << _RANGES)), F.lit(2 << _RANGES)).alias("slot")
-    slots = copies.groupBy(slot).agg(F.sum("key.size").alias("slot_size"))
+    slot = F.least(F.floor(F.col("key.finish") * (1 << _RANGES)), F.lit(2 << _RANGES))
+    slots = copies.groupBy(slot.alias("slot")).agg(F.sum("key.size").alias("slot_size"))
+    total = budget * (placed.agg(F.sum("size")).first()[0] or 0)
     upto = F.sum("slot_size").over(Window.orderBy("slot"))
-    total = placed.agg((budget * F.sum("size")).alias("total"))
-    edge = (
-        slots.select("slot", (upto - F.col("slot_size")).alias("before"), upto.alias("upto"))
-        .join(F.broadcast(total))
-        .where((F.col("before") < F.col("total")))
-        .agg(F.max_by(F.struct("slot", "before", "total"), "slot").alias("edge"))
-    )
+    ends = slots.select("slot", (upto - F.col("slot_size")).alias("before")).where(F.col("before") < total)
+    edge = ends.orderBy(F.desc("slot")).first()
+    if edge is None:
+        return None
     order = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    inside = copies.withColumn("slot", slot).join(F.broadcast(edge), F.col("slot") == F.col("edge.slot"))
-    fits = inside.withColumn("sum", F.col("edge.before") + F.sum("key.size").over(order)).where(F.col("sum") <= F.col("edge.total"))
-    earlier = copies.withColumn("slot", slot).join(F.broadcast(edge), F.col("slot") < F.col("edge.slot"))
-    return fits.agg(F.max("key").alias("a")).join(earlier.agg(F.max("key").alias("b"))).select(F.coalesce("a", "b").alias("last"))
+    inside = copies.where(slot == edge.slot).withColumn("sum", edge.before + F.sum("key.size").over(order))
+    found = inside.where(F.col("sum") <= total).agg(F.max("key").alias("key")).first().key
+    found = found or copies.where(slot < edge.slot).agg(F.max("key").alias("key")).first().key
+    if found is None:
+        return None
+    kinds = copies.schema["key"].dataType
+    return F.struct(*[F.lit(found[f.name]).cast(f.dataType).alias(f.name) for f in kinds.fields])
