@@ -18,7 +18,7 @@ from folioframe.llm.mixing import mix
 from folioframe.llm.neardup import near_duplicates
 from folioframe.llm.quality import keep_quality
 from folioframe.llm.queries import table, trusted_ids
-from folioframe.llm.scratch import shared_dir
+from folioframe.llm.scratch import remove, shared_dir
 from folioframe.llm.substrings import remove_repeats
 
 
@@ -62,10 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, from the whole ``documents`` table."""
+    """The rows of the last stage, from the whole ``documents`` table. A stage's rows go once the next has read them."""
     root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if before:
+            remove(spark, f"{root}/{before}")
+        before = name
     return docs
