@@ -5,7 +5,9 @@ document's sum of count times value. Joined row by row, every (document, key) pa
 be a shuffled row. Here a chunk of documents is packed, for each shard of the key space,
 into one block: its distinct keys, and for each key the documents and counts, compressed.
 Blocks and table rows are shuffled by shard; each task streams through its shards, holding
-one shard's part of the table and one block, and adds up values per document.
+one shard's part of the table and one block, and adds up values per document. Where there
+are fewer shards than shuffle partitions, the blocks of a shard are dealt out to several
+tasks by a salt, and the shard's part of the table goes to each of them.
 
 Nothing is broadcast, the table may be of any size (more shards), and a key that all
 documents share is one key in each block.
@@ -104,9 +106,13 @@ def join_blocks(blocks: DataFrame, table: DataFrame, bits: int, missing: float)
     ``missing`` is the value of keys that the table lacks. A row comes once for each shard
     of a task: sum them up.
     """
+    salts = max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) >> bits)
+    place = F.col("shard") * salts
     left = table.select(shard_column(F.col("key"), bits).alias("shard"), "key", "value", F.lit(None).cast("binary").alias("block"))
+    left = left.withColumn("shard", F.explode(F.sequence(place, place + (salts - 1))))
     right = blocks.select("shard", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "block")
-    both = left.unionByName(right).repartition(1 << bits, "shard").sortWithinPartitions("shard", F.col("block").isNotNull())
+    right = right.withColumn("shard", (place + F.pmod(F.xxhash64("block"), F.lit(salts))).cast("int"))
+    both = left.unionByName(right).repartition(salts << bits, "shard").sortWithinPartitions("shard", F.col("block").isNotNull())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts = None, []
