@@ -33,7 +33,7 @@ from folioframe.llm.components import connected_components
 from folioframe.llm.scratch import Scratch, cut
 from folioframe.llm.streams import groups
 
-BLOCK = 2048
+BLOCK = 4096
 _SLACK = 1e-9  # on angles, far above rounding and far below any use
 
 
@@ -129,6 +129,23 @@ def _members(shared, reach: float):
     return emit
 
 
+def _near(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with a cosine of ``least`` or more: by single precision, and by double where that could err."""
+    margin = max(1e-5, a.shape[1] * 1e-7)
+    low_a, low_b = a.astype(np.float32), b.astype(np.float32)
+    rows, columns = [], []
+    for at in range(0, len(a), 512):
+        cosine = low_a[at : at + 512] @ low_b.T
+        row, column = np.nonzero(cosine >= least - margin)
+        close = np.flatnonzero(cosine[row, column] < least + margin)
+        good = np.ones(len(row), bool)
+        for part in np.array_split(close, max(1, len(close) // 10_000)):
+            good[part] = np.einsum("ij,ij->i", a[at + row[part]], b[column[part]]) >= least
+        rows.append(at + row[good])
+        columns.append(column[good])
+    return np.concatenate(rows), np.concatenate(columns)
+
+
 def _linked(least: float):
     """Of rows sorted by size, cell, i, j: link counts of those at home, and a forest of the links."""
 
@@ -140,14 +157,15 @@ def _linked(least: float):
             homes, members = np.flatnonzero(as_home), np.flatnonzero(~as_home)
             if not len(homes) or not len(members):
                 continue
-            near = x[homes] @ x[members].T >= least
-            near[ids[homes][:, None] == ids[members][None, :]] = False
-            counts = near @ many[members]
+            row, column = _near(x[homes], x[members], least)
+            other = ids[homes][row] != ids[members][column]
+            row, column = row[other], column[other]
+            counts = np.bincount(row, many[members][column], len(homes)).astype(np.int64)
             label_h, label_m = ids[homes].copy(), ids[members].copy()
-            top = np.iinfo(np.int64).max
             while True:
-                new_h = np.minimum(label_h, np.where(near, label_m[None, :], top).min(axis=1))
-                new_m = np.minimum(label_m, np.where(near, new_h[:, None], top).min(axis=0))
+                new_h, new_m = label_h.copy(), label_m.copy()
+                np.minimum.at(new_h, row, label_m[column])
+                np.minimum.at(new_m, column, new_h[row])
                 if (new_h == label_h).all() and (new_m == label_m).all():
                     break
                 label_h, label_m = new_h, new_m
