@@ -39,7 +39,7 @@ from folioframe.llm.textblocks import Words, as_long, chunks, mix, sequence_hash
 
 BANDS, ROWS, BATCH = 40, 5, 20
 HASHES = BANDS * ROWS
-BLOCK = 500
+BLOCK = 1000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
