@@ -55,5 +55,18 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_clean(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``put``; the shuffle files that the writing took go at once, not when the driver collects its garbage."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "true")
+        try:
+            return self.put(df, name)
+        finally:
+            self.spark.conf.set(key, before)
+
+    def drop(self, name: str) -> None:
+        remove(self.spark, f"{self.root}/{name}")
+
     def __exit__(self, *exc: object) -> None:
         remove(self.spark, self.root)

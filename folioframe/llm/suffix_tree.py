@@ -1,19 +1,25 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are the words that make up at least ``least_share`` of all training tokens (so at
-most ``1 / least_share`` of them), the end of a text, and one class for all other words,
-within which a word has its share of the base model. Contexts are sequences of such
-words that reach ``least_share`` as well; by length, there are again at most
-``1 / least_share``. Only these bounded tables are broadcast.
-
-The tree grows a level at a time. A context is retained if the divergence of its
-next-symbol distribution from that of its longest suffix, weighted by its count, exceeds
-what its distinct successors would cost by chance (a penalised likelihood-ratio test).
+Symbols are all words and the end of a text; contexts are all sequences of up to ``depth``
+words. The only minimum is absolute: a context counts from ``LEAST`` occurrences on, and so
+does a successor of one (those seen less often are pooled as new there; they still count
+towards the context's total and number of successors). So the tree grows with the corpus.
+
+It grows a level at a time. A context is retained if the divergence of its next-symbol
+distribution from that of its longest suffix, weighted by its count, exceeds what its
+distinct successors would cost by chance (a penalised likelihood-ratio test).
 Distributions are smoothed towards the suffix's (Witten-Bell), down to the base model. A
 token is scored by the longest retained suffix of what stands before it.
 
-The base model counts every word of every training text, sharded by word, and joins
-documents with the counts in packed blocks (see ``blocks``).
+N-grams are counted in packed blocks, sharded by context; probabilities of the level below
+and retained contexts are joined as tables. A token's log probability is the base's plus,
+for each n-gram that ends there, a value of that n-gram: its gain over backing off if its
+context is retained, and its own back-off weight (what follows it pays that, and something
+always follows words). So documents join with the tree as with the base model, in packed
+blocks (see ``blocks``). All that is broadcast are bitmaps of at most 2^27 bits that spare
+shuffling n-grams that are not wanted; they never decide a result.
+
+The base model counts every word of every training text, sharded by word.
 
 Defined results: a null text is an empty one, which has its end as the only token; a null
 id is not learned from and not held out; repeated rows give repeated results; without
@@ -35,12 +41,20 @@ from folioframe.llm.blocks import join_blocks, pack_blocks, row_keys, shard_bits
 from folioframe.llm.scratch import Scratch, cut
 from folioframe.llm.textblocks import Words, as_long, chunks, mix, prefix_sums
 
+LEAST = 2  # occurrences of a context, and of a successor that has a probability of its own there
+END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
+_BASE = np.uint64(0xD1342543DE82EF95)
+_MOST_BITS = 27  # of a bitmap's size
 _BITS = np.uint64(16)  # of a symbol in a packed context
+_codec = pa.Codec("zstd", compression_level=1)
 
 
 @dataclass
 class Tree:
-    """Retained contexts by length: packed symbols, parents and smoothed next-symbol entries."""
+    """The tree of a small vocabulary in memory, next to which tests hold the tables below.
+
+    Retained contexts by length: packed symbols, parents and smoothed next-symbol entries.
+    """
 
     words: np.ndarray  # sorted hashes; symbol i is words[i]; then the class of others, then the end
     base: np.ndarray  # probability of each symbol without context
@@ -168,70 +182,245 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _context_counts(shared, length: int, contexts: np.ndarray | None):
-    """Counts of (context number, next symbol); at length 1 each frequent word is a context."""
+def sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a chunk with the end after each text, and how many words of its text stand before each."""
+    sizes = np.diff(words.offsets) + 1
+    stops = np.cumsum(sizes) - 1
+    symbols = np.full(int(sizes.sum()), END, np.uint64)
+    body = np.ones(len(symbols), bool)
+    body[stops] = False
+    symbols[body] = words.hashes
+    return symbols, np.arange(len(symbols)) - np.repeat(stops + 1 - sizes, sizes)
+
+
+def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """Keys of n-grams, one column for each place; a single symbol is its own key."""
+    if len(columns) == 1:
+        return columns[0]
+    key = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        key = key * _BASE + column
+    return mix(key + np.uint64(len(columns)))
+
+
+def keys_ending(symbols: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n-grams that end at the positions ``at``."""
+    return gram_keys([symbols[at - j] for j in range(n - 1, -1, -1)])
+
+
+def bitmap(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits set at the leading bits of ``n`` keys; at most 2^21 rows are collected."""
+    size = min(_MOST_BITS, max(16, (8 * n).bit_length()))
+    place = F.shiftrightunsigned(F.col("key"), 64 - size)
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    rows = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys >> np.uint64(64 - (len(bits).bit_length() - 1 + 6))
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _gram_blocks(length: int, bits: int, shared):
+    """Blocks, by shard of the context, of a chunk's distinct (context, next symbol) and their counts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
         for batch in batches:
             for words in chunks(batch.column(0), lower=True):
-                symbols, depth = tree.symbols(words)
-                key, good = tree.packed(symbols, depth, length)
-                at = lookup(contexts, key)
-                hit = good & (at >= 0)
-                pairs, counts = np.unique((at[hit] << 16) | symbols[hit], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs >> 16), pa.array(pairs & 0xFFFF), pa.array(counts)], ["context", "symbol", "count"])
+                symbols, depth = sequence(words)
+                at = np.flatnonzero(depth >= length)
+                context = keys_ending(symbols, at - 1, length)
+                if shared is not None:
+                    wanted = marked(shared.value, context)
+                    at, context = at[wanted], context[wanted]
+                if not len(at):
+                    continue
+                _, first, counts = np.unique(keys_ending(symbols, at, length + 1), return_index=True, return_counts=True)
+                order = np.argsort(context[first])
+                first, counts = first[order], counts[order]
+                shard = (context[first] >> np.uint64(64 - bits)).astype(np.int64)
+                edges = np.searchsorted(shard, np.arange((1 << bits) + 1))
+                at = at[first]
+                used = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
+                packed = [_pack_grams([symbols[at[edges[k] : edges[k + 1]] - j] for j in range(length, -1, -1)], counts[edges[k] : edges[k + 1]]) for k in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["shard", "block"])
+
+    return emit
+
+
+def _pack_grams(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    known, places = np.unique(np.concatenate(columns), return_inverse=True)
+    numbers = np.concatenate([places.astype(np.uint32), counts.astype(np.uint32)])
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes()
+    body = np.array([len(known), len(counts)], np.uint64).tobytes() + known.tobytes() + planes
+    return np.uint64(len(body)).tobytes() + _codec.compress(body, asbytes=True)
+
+
+def _unpack_grams(payload: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    size = int(np.frombuffer(payload, np.uint64, 1)[0])
+    raw = np.frombuffer(_codec.decompress(memoryview(payload)[8:], size, asbytes=True), np.uint8)
+    words, n = raw[:16].view(np.uint64).astype(int)
+    known = raw[16 : 16 + 8 * words].view(np.uint64)
+    numbers = np.ascontiguousarray(raw[16 + 8 * words :].reshape(4, -1).T).view(np.uint32).ravel()
+    return [known[numbers[j * n : (j + 1) * n]] for j in range(width)], numbers[width * n :].astype(np.int64)
+
+
+_LEVEL = "context long, gram long, suffix long, word boolean, count long, kinds long, ones long"
+
+
+def _merge(length: int):
+    """Rows of (context, next symbol) seen ``LEAST`` times, and a row without gram for each context seen as often."""
+
+    def merged(parts: list) -> pa.RecordBatch:
+        context, gram, suffix, word, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((gram, context))
+        context, gram, suffix, word, count = (x[order] for x in (context, gram, suffix, word, count))
+        first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])))
+        context, gram, suffix, word, count = context[first], gram[first], suffix[first], word[first], np.add.reduceat(count, first)
+        start = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        total = np.add.reduceat(count, start)
+        kinds = np.diff(np.append(start, len(context)))
+        ones = np.add.reduceat(np.where(count < LEAST, count, 0), start)
+        some, own = count >= LEAST, total >= LEAST
+        n, m = int(some.sum()), int(own.sum())
+        joined = lambda a, b: pa.concat_arrays([a, b])
+        return pa.RecordBatch.from_arrays(
+            [
+                joined(as_long(context[some]), as_long(context[start][own])),
+                joined(as_long(gram[some]), pa.nulls(m, pa.int64())),
+                joined(as_long(suffix[some]), pa.nulls(m, pa.int64())),
+                joined(pa.array(word[some]), pa.nulls(m, pa.bool_())),
+                pa.array(np.append(count[some], total[own])),
+                joined(pa.nulls(n, pa.int64()), pa.array(kinds[own])),
+                joined(pa.nulls(n, pa.int64()), pa.array(ones[own])),
+            ],
+            ["context", "gram", "suffix", "word", "count", "kinds", "ones"],
+        )
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+        for batch in batches:
+            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != last and parts:
+                    yield merged(parts)
+                    parts = []
+                last = shard
+                columns, count = _unpack_grams(payload.as_py(), length + 1)
+                parts.append((gram_keys(columns[:-1]), gram_keys(columns), gram_keys(columns[1:]), columns[-1] != END, count))
+        if parts:
+            yield merged(parts)
+
+    return emit
+
+
+def _tree_blocks(shared, depth: int, bits: int):
+    """Blocks of each chunk's n-grams that the tree may have a value for."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            for words in chunks(batch.column(1), 2 << 20, lower=True):
+                symbols, back = sequence(words)
+                doc = np.repeat(np.arange(words.hi - words.lo), np.diff(words.offsets) + 1)
+                found: list[tuple[np.ndarray, np.ndarray]] = []
+                for n in range(1, depth + 2):
+                    at = np.flatnonzero(back >= n - 1)
+                    keys = keys_ending(symbols, at, n)
+                    wanted = marked(shared.value, keys)
+                    found.append((keys[wanted], doc[at[wanted]]))
+                keys, docs = (np.concatenate(x) for x in zip(*found, strict=True))
+                packed = list(pack_blocks(text_rows(words, ids[words.lo : words.hi]), *_counted(keys, docs), bits))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], ["shard", "block"]
+                )
 
     return emit
 
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, gain double, shard int, block binary"
+def _counted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, document), sorted, and how often each comes; equal keys come in order of documents."""
+    order = np.argsort(keys, kind="stable")
+    keys, docs = keys[order], docs[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+    first = np.flatnonzero(new)
+    return keys[first], docs[first], np.diff(np.append(first, len(keys)))
+
+
+def text_rows(words: Words, ids: np.ndarray) -> np.ndarray:
+    """A key for each document of a chunk; equal rows share it."""
+    sums, down = prefix_sums(words.hashes)
+    lo, hi = words.offsets[:-1], words.offsets[1:]
+    return row_keys(ids, mix((sums[hi] - sums[lo]) * down[lo] + np.diff(words.offsets).astype(np.uint64)))
+
 
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, shard int, block binary"
 
-def _score(shared, bits: int):
-    """A row for each document with its tree's gain over the base model, and blocks for the base model."""
+
+def _score(bits: int):
+    """A row for each document, and blocks for the base model."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
+        names = ["row", "doc_id", "held_out", "n_tokens", "shard", "block"]
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for words in chunks(batch.column(1), lower=True):
                 n = words.hi - words.lo
-                own = ids[words.lo : words.hi]
-                symbols, depth = tree.symbols(words)
-                ratio = tree.probability(tree.state(symbols, depth), symbols) / tree.base[symbols]
                 sizes = np.diff(words.offsets)
-                gain = np.bincount(np.repeat(np.arange(n), sizes + 1), np.log10(ratio), n)
-                sums, down = prefix_sums(words.hashes)
-                lo, hi = words.offsets[:-1], words.offsets[1:]
-                rows = row_keys(own, mix((sums[hi] - sums[lo]) * down[lo] + sizes.astype(np.uint64)))
-                none = pa.nulls(n, pa.binary())
+                rows = text_rows(words, ids[words.lo : words.hi])
                 own, out = (batch.column(c).slice(words.lo, n) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([as_long(rows), own, out, pa.array(sizes + 1), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                packed = list(pack_blocks(rows, *_counted(words.hashes, np.repeat(np.arange(n), sizes)), bits))
+                empty = [pa.nulls(len(packed), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [as_long(rows), own, out, pa.array(sizes + 1), pa.array(gain), pa.nulls(n, pa.int32()), none],
-                    ["row", "doc_id", "held_out", "n_tokens", "gain", "shard", "block"],
-                )
-                doc = np.repeat(np.arange(n), sizes)
-                order = np.argsort(words.hashes, kind="stable")
-                keys, docs = words.hashes[order], doc[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-                first = np.flatnonzero(new)
-                counts = np.diff(np.append(first, len(keys)))
-                shards, blocks = [], []
-                for shard, block in pack_blocks(rows, keys[first], docs[first], counts, bits):
-                    shards.append(shard)
-                    blocks.append(block)
-                m = len(shards)
-                empty = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays(
-                    [*empty, pa.array(shards, pa.int32()), pa.array(blocks, pa.binary())],
-                    ["row", "doc_id", "held_out", "n_tokens", "gain", "shard", "block"],
+                    [*empty, pa.array([s for s, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], names
                 )
 
     return emit
 
 
+def grow_tree(train: DataFrame, base: DataFrame, tokens: int, depth: int, scratch: Scratch) -> DataFrame:
+    """``key, value``: what each n-gram adds to the base's log10 probabilities. ``base``: ``key, p`` of single symbols."""
+    spark = train.sparkSession
+    bits = max(shard_bits(tokens >> 2), (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    below, values, shared = base, [], None
+    for length in range(1, depth + 1):
+        blocks = train.mapInArrow(_gram_blocks(length, bits, shared), "shard int, block binary")
+        blocks = blocks.repartition(1 << bits, "shard").sortWithinPartitions("shard")
+        level = scratch.put_clean(blocks.mapInArrow(_merge(length), _LEVEL), f"level{length}")
+        entries = level.where("gram is not null").select("context", "gram", "suffix", "count")
+        entries = entries.join(below.select(F.col("key").alias("suffix"), F.col("p").alias("above")), "suffix").drop("suffix")
+        entries = scratch.put_clean(entries, f"entries{length}")
+        sums = entries.groupBy("context").agg(F.sum(F.col("count") * F.ln(F.col("count") / F.col("above"))).alias("inner"), F.sum("above").alias("mass"))
+        contexts = level.where("gram is null").select("context", F.col("count").alias("total"), "kinds", "ones").join(sums, "context")
+        new = F.when(F.col("ones") > 0, F.col("ones") * F.ln(F.col("ones") / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
+        gain = F.col("inner") - (F.col("total") - F.col("ones")) * F.ln("total") + new
+        outcomes = F.col("kinds") - F.col("ones") + (F.col("ones") > 0).cast("int")
+        weight = F.col("total") + F.col("kinds") - F.col("ones")
+        retained = contexts.where(gain > 0.5 * outcomes * F.ln("total")).select("context", weight.alias("weight"), (F.col("kinds") / weight).alias("backoff"))
+        retained = scratch.put_clean(retained, f"retained{length}")
+        p = F.coalesce(F.col("count") / F.col("weight") + F.col("backoff") * F.col("above"), "above")
+        value = F.coalesce(F.log10(p / F.col("above") / F.col("backoff")), F.lit(0.0))
+        if length < depth:
+            frequent = level.where("word").select(F.col("gram").alias("key"))
+            shared = spark.sparkContext.broadcast(bitmap(frequent, frequent.count()))
+        scratch.drop(f"level{length}")
+        below = scratch.put_clean(entries.join(retained, "context", "left").select(F.col("gram").alias("key"), p.alias("p"), value.alias("value")), f"p{length}")
+        scratch.drop(f"entries{length}")
+        values += [below.where("value <> 0").select("key", "value"), retained.select(F.col("context").alias("key"), F.log10("backoff").alias("value"))]
+    table = values[0]
+    for more in values[1:]:
+        table = table.unionByName(more)
+    table = scratch.put_clean(table.groupBy("key").agg(F.sum("value").alias("value")), "tree")
+    for length in range(1, depth + 1):
+        scratch.drop(f"p{length}")
+        scratch.drop(f"retained{length}")
+    return table
+
+
 def score_texts(
     docs: DataFrame,
     *,
@@ -239,17 +428,14 @@ def score_texts(
     text_col: str = "text",
     held_out: Column | None = None,
     depth: int = 2,
-    least_share: float = 1e-4,
-    least_pair_share: float = 1e-6,
 ) -> DataFrame:
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``held_out`` tells which rows are not learned from (default: crc32 of the id as text,
-    modulo 7, is 2). Successors of a context with less than ``least_pair_share`` of all
-    tokens count as unseen there, so a level has at most ``1 / least_pair_share`` entries.
+    modulo 7, is 2). Contexts have up to ``depth`` words.
     """
-    if not 1 <= depth <= 4 or not 2**-15 <= least_share < 1:
-        raise ValueError("depth must be 1 to 4 and least_share at least 2^-15")
+    if not 1 <= depth <= 4:
+        raise ValueError("depth must be 1 to 4")
     spark = docs.sparkSession
     out = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(7)) == 2 if held_out is None else held_out
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
@@ -261,28 +447,18 @@ def score_texts(
         words, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
         total = tokens + ends
         scale = total + words + (ends > 0) + 1
-        least = max(1, least_share * total)
-        frequent = counts.where(F.col("count") >= least).toPandas()  # at most 1 / least_share rows
-        hashes = frequent["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        base = (frequent["count"].to_numpy(np.float64)[order] + 1) / scale
         end = (ends + 1) / scale
-        tree = Tree(hashes[order], np.concatenate([base, [max(1 - base.sum() - end, 1 / scale), end]]))
-        contexts = np.arange(len(hashes), dtype=np.uint64)
-        for length in range(1, depth + 1):
-            if not len(contexts):
-                break
-            shared = spark.sparkContext.broadcast(tree)
-            seen = train.mapInArrow(_context_counts(shared, length, contexts), "context long, symbol long, count long")
-            seen = seen.groupBy("context", "symbol").agg(F.sum("count").alias("count")).where(F.col("count") >= max(1, least_pair_share * total))
-            table = seen.toPandas().sort_values(["context", "symbol"])  # at most 1 / least_pair_share rows
-            context, symbol, count = (table[c].to_numpy(np.int64) for c in ("context", "symbol", "count"))
-            tree.grow(length, contexts, context, symbol, count.astype(np.float64))
-            longer = (count >= least) & (symbol < tree.other)
-            contexts = np.sort((contexts[context[longer]] << _BITS) | symbol[longer].astype(np.uint64))
-        shared = spark.sparkContext.broadcast(tree)
+        one = spark.range(1).select(F.lit(int(END.view(np.int64))).alias("key"), F.lit(float(end)).alias("p"))
+        base = counts.select("key", ((F.col("count") + 1) / F.lit(float(scale))).alias("p")).unionByName(one)
+        tree = grow_tree(train, base, total, depth, scratch)
+        keys = tree.count()
+        shared = spark.sparkContext.broadcast(bitmap(tree, keys))
+        bits = shard_bits(keys)
+        blocks = texts.mapInArrow(_tree_blocks(shared, depth, bits), "shard int, block binary")
+        gains = scratch.put_clean(join_blocks(blocks, tree, bits, 0.0).groupBy("row").agg(F.sum("total").alias("gain")), "gains")
+        scratch.drop("tree")
         bits = shard_bits(words)
-        scored = scratch.put(texts.mapInArrow(_score(shared, bits), _SCORED), "scored")
+        scored = scratch.put(texts.mapInArrow(_score(bits), _SCORED), "scored")
         table = counts.select("key", F.log10((F.col("count") + 1) / F.lit(float(scale))).alias("value"))
         blocks = scored.where("block is not null").select("shard", "block")
         sums = join_blocks(blocks, table, bits, float(np.log10(1 / scale)))
@@ -290,14 +466,15 @@ def score_texts(
         rows = scored.where("block is null").drop("shard", "block")
         alike = rows.groupBy("row").agg(F.count("*").alias("alike"))
         sums = sums.join(alike, "row").select("row", (F.col("total") / F.col("alike")).alias("total"), (F.col("known") / F.col("alike")).cast("long").alias("known"))
+        gains = gains.join(alike, "row").select("row", (F.col("gain") / F.col("alike")).alias("gain"))
         base_score = F.coalesce("total", F.lit(0.0)) + float(np.log10(end))
-        result = rows.join(sums, "row", "left").select(
+        result = rows.join(sums, "row", "left").join(gains, "row", "left").select(
             "doc_id",
             F.coalesce("held_out", F.lit(False)).alias("held_out"),
             "n_tokens",
             (F.coalesce("known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
             F.lit(int(total)).cast("long").alias("train_tokens"),
             base_score.alias("base_score"),
-            (base_score + F.col("gain")).alias("score"),
+            (base_score + F.coalesce("gain", F.lit(0.0))).alias("score"),
         )
         return cut(result)

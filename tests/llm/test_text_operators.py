@@ -269,3 +269,54 @@ def test_without(spark):
     kept = without(docs, bad.unionByName(bad))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted([-1, *[i for i in range(500) if i % 3]])
+
+
+def test_tree_has_no_share_cuts(spark, docs, rows):
+    """Words and contexts far below a share of all tokens count, as in a plain model of the same definition."""
+
+    def tokens(text):
+        return [*WORD.findall(lower(text or "")), None]
+
+    def out(i):
+        return zlib.crc32(str(i).encode()) % 7 == 2
+
+    learned = [tokens(text) for i, text, *_ in rows if i is not None and not out(i)]
+    single = Counter(t for ts in learned for t in ts)
+    scale = sum(single.values()) + len(single) + 1
+    levels = []
+
+    def chance(symbol, before):
+        p = (single[symbol] + 1) / scale
+        for length, kept in enumerate(levels, 1):
+            c = kept.get(tuple(before[-length:])) if len(before) >= length else None
+            if c:
+                weight = sum(c.values()) + sum(n > 1 for n in c.values())
+                p = (c[symbol] if c[symbol] > 1 else 0) / weight + len(c) / weight * p
+        return p
+
+    for length in (1, 2):
+        seen = {}
+        for ts in learned:
+            for i in range(length, len(ts)):
+                seen.setdefault(tuple(ts[i - length : i]), Counter())[ts[i]] += 1
+        kept = {}
+        for context, c in seen.items():
+            total, often = sum(c.values()), {s: n for s, n in c.items() if n > 1}
+            above = {s: chance(s, context) for s in often}
+            ones = total - sum(often.values())
+            gain = sum(n * math.log(n / total / above[s]) for s, n in often.items())
+            gain += ones and ones * math.log(ones / total / (1 - sum(above.values())))
+            if often and gain > 0.5 * (len(often) + (ones > 0)) * math.log(total):
+                kept[context] = c
+        levels.append(kept)
+    assert min(len(x) for x in levels) > 100
+    texts = {i: tokens(text) for i, text, *_ in rows}
+    for r in score_texts(docs).collect():
+        ts = texts[r.doc_id]
+        want = sum(math.log10(chance(t, ts[max(0, i - 2) : i])) for i, t in enumerate(ts))
+        assert math.isclose(r.score, want, rel_tol=1e-6), (r, want)
+    filler = [(i, " ".join(f"w{(i * 37 + j * j) % 997}" for j in range(1000)), "x") for i in range(60)]
+    rare = [(100 + i, "zyx abc", "x") for i in range(3)] + [(200, "zyx abc", "x")]
+    frame = spark.createDataFrame(filler + rare, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in score_texts(frame, held_out=F.col("doc_id") == 200).collect()}
+    assert found[200].held_out and found[200].score - found[200].base_score > 2
