@@ -4,11 +4,14 @@ The tree builder works on any input: it closes elements whose end tags HTML lets
 out, supplies table rows, ignores stray end tags and never fails. Invisible are what
 browsers never show (head, scripts, templates, ...), elements with the ``hidden``
 attribute, and those that inline styles or plain rules of the page's own style sheets
-(tag, class and id selectors) set to ``display: none`` or ``visibility: hidden``.
+(tag, class and id selectors) set to ``display: none`` or ``visibility: hidden``, as far as
+no rule that comes before them in the cascade shows them. Rules in at-rules count only if
+these hold on any screen (``@media screen`` or ``all``, ``@layer``). A drop-down shows its
+selected option. The text of a ``textarea`` is left out, as what a user edits.
 
 The layout collapses white space as inline text does, but not in ``pre``; sets blocks on
 lines of their own, with a blank line around paragraphs, headings, lists and tables; marks
-and indents list items; and pads table cells to the width of their column. Nothing of the
+and indents list items; and pads table cells to the width of their column. Nothing else of the
 visible text is left out.
 
 Defined results: a null page gives null; an empty one, or one without visible text, an empty
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 # Element names with special parts in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe noembed noframes datalist object audio video canvas svg math textarea select".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe noembed noframes datalist object audio video canvas textarea".split())
+HEAD_PARTS = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+UNSEEN_IN = {"svg": frozenset("desc metadata defs symbol clippath".split()), "math": frozenset(("annotation", "annotation-xml"))}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure fieldset hr".split())
 BLOCK = SPACED | frozenset(
     "html body address article aside details dialog dd div dt figcaption footer form header hgroup li main nav section summary caption tr legend center search optgroup option".split()
@@ -43,12 +48,13 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_CSS = re.compile(r"([^{};]*)([{};])")
 _SIMPLE = re.compile(r"[a-zA-Z0-9]*[.#]?[\w-]*\Z")
 _BLANKS = " \t\n\r\f"
 _INLINE = re.compile(f"[^{_BLANKS}]+")
-_COMMENT = re.compile(r"/\*.*?\*/", re.DOTALL)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+_QUOTED = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'")
 
 
 class Node:
@@ -103,6 +109,8 @@ class TreeBuilder:
         return True
 
     def start(self, tag: str, given: dict[str, str]) -> None:
+        if self.top.tag == "head" and tag not in HEAD_PARTS:
+            self._pop()
         if tag in ENDS_P and self.open.get("p"):
             self._close({"p"}, {"button", "td", "th", "table", "caption"})
         if tag == "li":
@@ -128,6 +136,11 @@ class TreeBuilder:
         else:
             self._push(tag, given)
 
+    def text(self, raw: str) -> None:
+        if self.top.tag == "head" and raw.strip(_BLANKS):
+            self._pop()
+        self.top.children.append(html.unescape(raw))
+
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", {})
@@ -143,7 +156,7 @@ class TreeBuilder:
         for_match = _TOKEN.search
         while m := for_match(page, at):
             if m.start() > at:
-                self.top.children.append(html.unescape(page[at : m.start()]))
+                self.text(page[at : m.start()])
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
@@ -152,6 +165,9 @@ class TreeBuilder:
                 self.end(tag)
                 continue
             self.start(tag, attributes(m[3] or m[6] or ""))
+            if m[0].endswith("/>") and tag not in VOID and (self.open.get("svg") or self.open.get("math")):
+                self._pop()
+                continue
             if tag in RAW or tag in ("title", "textarea"):
                 low = low or page.lower()
                 stop = low.find(f"</{tag}", at) if len(low) == len(page) else _later(page, tag, at)
@@ -162,7 +178,7 @@ class TreeBuilder:
                 self.top.children.append(inner if tag in RAW else html.unescape(inner))
                 at = stop
         if at < len(page):
-            self.top.children.append(html.unescape(page[at:]))
+            self.text(page[at:])
         return self.root
 
 
@@ -171,24 +187,88 @@ def _later(page: str, tag: str, at: int) -> int:
     return m.start() if m else -1
 
 
-def hiding_selectors(styles: list[str]) -> set[str]:
-    """The plain selectors that the style sheets hide."""
-    found: set[str] = set()
-    for sheet in styles:
-        for m in _RULE.finditer(_COMMENT.sub("", sheet)):
-            if _UNSEEN.search(m[2]):
-                found.update(s for s in (x.strip() for x in m[1].split(",")) if s and _SIMPLE.match(s))
-    return found
+_ALWAYS = re.compile(r"@media\s*(?:(?:only\s+)?(?:all|screen))?\s*\Z|@layer\b", re.I)
+
+
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the rules that hold on any screen; others stand in at-rules and are passed over."""
+    stack: list[tuple[str, bool]] = []  # of open blocks: what stands before them, whether they hold
+    body: list[str] = []
+    for m in _CSS.finditer(sheet + "}"):
+        head, mark = m[1].strip(), m[2]
+        holds = not stack or stack[-1][1]
+        inside = bool(stack) and not stack[-1][0].startswith("@")
+        if mark == "{":
+            if inside:
+                holds = False  # nested rules
+            stack.append((head, holds and (not head.startswith("@") or any(_ALWAYS.match(q.strip() if i == 0 else "@media " + q.strip()) for i, q in enumerate(head.split(","))))))
+            if not inside:
+                body = []
+        elif inside and holds:
+            body.append(head)
+        if mark == "}" and stack:
+            name, held = stack.pop()
+            if held and not name.startswith("@"):
+                yield name, ";".join(body)
 
 
-def visible(node: Node, hiding: set[str]) -> bool:
+Weight = tuple[bool, int, int]  # of a declaration: important, by selector, by order; the greatest counts
+
+
+def _declarations(body: str) -> Iterator[tuple[str, bool, bool]]:
+    """Property, whether it hides, whether it is important."""
+    for m in _DECLARED.finditer(body):
+        kind, value = m[1].lower(), m[2].lower()
+        yield kind, value == "none" if kind == "display" else value in ("hidden", "collapse"), bool(m[3])
+
+
+def hiding_selectors(styles: list[str]) -> dict[str, dict[str, tuple[Weight, bool]]]:
+    """What the style sheets say of display and visibility, by plain selector; empty if they hide nothing."""
+    found: dict[str, dict[str, tuple[Weight, bool]]] = {}
+    order = 0
+    for sheet in styles:
+        for names, body in _rules(_QUOTED.sub("''", _COMMENT.sub("", sheet))):
+            for name in (x.strip() for x in names.split(",")):
+                if name and _SIMPLE.match(name):
+                    rank = 100 * ("#" in name) + 10 * ("." in name) + (name[0] not in "#.")
+                    for kind, hides, important in _declarations(body):
+                        order += 1
+                        own = found.setdefault(name, {})
+                        own[kind] = max(own.get(kind, ((False, 0, 0), False)), ((important, rank, order), hides))
+    return found if any(hides for own in found.values() for _, hides in own.values()) else {}
+
+
+def visible(node: Node, hiding: dict[str, dict[str, tuple[Weight, bool]]]) -> bool:
     given = node.attributes
-    if node.tag in HIDDEN or "hidden" in given or _UNSEEN.search(given.get("style", "")):
+    if node.tag in HIDDEN or "hidden" in given:
         return False
+    style = given.get("style", "")
+    if not hiding and not style:
+        return True
+    best: dict[str, tuple[Weight, bool]] = {}
+    for i, (kind, hides, important) in enumerate(_declarations(style)):
+        best[kind] = max(best.get(kind, ((False, 0, 0), False)), ((important, 1000, i), hides))
     if hiding:
         names = ["." + c for c in given.get("class", "").split()] + ["#" + given.get("id", "")]
-        return not (node.tag in hiding or any(n in hiding or node.tag + n in hiding for n in names))
-    return True
+        for name in (node.tag, *names, *(node.tag + n for n in names)):
+            for kind, said in hiding.get(name, {}).items():
+                best[kind] = max(best.get(kind, ((False, 0, 0), False)), said)
+    return not any(hides for _, hides in best.values())
+
+
+def shown_options(node: Node) -> list[Node | str]:
+    """What a select shows: its list, or of a drop-down one the option selected last, else the first."""
+    size = node.attributes.get("size", "1")
+    if "multiple" in node.attributes or re.fullmatch(r"\d+", size) and int(size) > 1:
+        return node.children
+    options, stack = [], list(reversed(node.children))
+    while stack:
+        at = stack.pop()
+        if isinstance(at, Node):
+            if at.tag == "option":
+                options.append(at)
+            stack.extend(reversed(at.children))
+    return [x for x in options if "selected" in x.attributes][-1:] or options[:1]
 
 
 class Lines:
@@ -259,12 +339,13 @@ class Table:
         return out
 
 
-def render(root: Node, hiding: set[str]) -> str:
+def render(root: Node, hiding: dict[str, dict[str, tuple[Weight, bool]]]) -> str:
     """The visible text of a tree, laid out."""
     out, held = Lines(), []  # held: what encloses the current list item or cell
     tables: list[Table] = []
     counters: list[list] = []
     pre = 0
+    drawn: list[str] = []  # open svg and math elements
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
         node, leaving = stack.pop()
@@ -273,7 +354,7 @@ def render(root: Node, hiding: set[str]) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node, hiding):
+            if not visible(node, hiding) or drawn and tag in UNSEEN_IN[drawn[-1]]:
                 continue
             if tag == "br":
                 out.end(True)
@@ -282,6 +363,12 @@ def render(root: Node, hiding: set[str]) -> str:
                 out.gap() if tag in SPACED and not (tag in ("ul", "ol", "menu") and counters) else out.end()
             if tag in VOID:
                 continue
+            if tag in UNSEEN_IN:
+                drawn.append(tag)
+            elif drawn and tag in ("text", "mtr"):
+                out.end()
+            elif drawn and tag == "mtd":
+                out.space = True
             if tag == "pre":
                 pre += 1
             elif tag in ("ul", "ol", "menu"):
@@ -306,8 +393,12 @@ def render(root: Node, hiding: set[str]) -> str:
                 held.append((out, None))
                 out = Lines()
             stack.append((node, True))
-            stack.extend((c, False) for c in reversed(node.children))
+            stack.extend((c, False) for c in reversed(shown_options(node) if tag == "select" else node.children))
             continue
+        if tag in UNSEEN_IN:
+            drawn.pop()
+        elif drawn and tag in ("text", "mtr"):
+            out.end()
         if tag == "pre":
             pre -= 1
         elif tag in ("ul", "ol", "menu"):

@@ -140,3 +140,25 @@ def test_embeddings(spark, sf, pivots):
     found = sorted(tuple(r) for r in embedding_duplicates(frame, pivots=pivots).collect())
     assert found == sorted((i, links[i], find(i), find(i) == i) for i in links)
     assert embedding_duplicates(frame.limit(0)).count() == 0
+
+
+SHOWN = [
+    ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> b", "a x=1 b"),
+    ("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>One</text><text>Two</text></svg>after", "One\nTwo\nafter"),
+    ("<select><option>no<option selected>yes<option>no</select>", "yes"),
+    ("<select><option>first<option>no</select>", "first"),
+    ("<select multiple><option>a<option>b</select>", "a\nb"),
+    ("<style>@media print { .nav { display: none } } @media screen and (max-width: 600px) {.nav{display:none}}</style><p class=nav>menu", "menu"),
+    ("<style>@media screen { .x { display: none } } .y{visibility:hidden}</style><p class=x>no<p class=y>no<p>yes", "yes"),
+    ("<style>.x { display: none } .x { display: block }</style><p class=x>again", "again"),
+    ("<style>.x { display: none !important } .x { display: block } #y{display:none}</style><p class=x>no<p id=y>no<p id=y style='display:block'>in", "in"),
+    ("<style>.x { display: block } p { display: none }</style><p class=x>class<p>no", "class"),
+    ("<style>@supports (display:grid) { @media print { .x { display: none } } } .z{display:none}</style><p class=x>kept<p class=z>no", "kept"),
+    ("<head><title>T</title><a>text</a> more text", "text more text"),
+    ("<head><title>T</title>text <b>more</b>", "text more"),
+]
+
+
+@pytest.mark.parametrize("page,want", SHOWN)
+def test_rendering_shows_what_browsers_show(page, want):
+    assert extract_text(page) == want
