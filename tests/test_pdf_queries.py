@@ -112,3 +112,13 @@ def test_files_and_stream(spark, sf, tmp_path):
     query = ingest.ingest(ingest.stream_files(spark, str(inbox)), pdf.pages, target, str(tmp_path / "state"))
     query.awaitTermination(120)
     assert spark.read.parquet(target).count() == batch >= 4
+
+
+def test_page_tree_has_no_row_limit(spark, sf):
+    key = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        assert __spark_entry__.queries()["page_tree_recursive"](spark, sf).count() > 100
+    finally:
+        spark.conf.set(key, before)
