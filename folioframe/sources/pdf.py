@@ -30,9 +30,11 @@ _BATCH_ROWS = 2000
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """``file_id, length, content`` of the files under a path; the length filter reaches the scan."""
+    """``file_id, length, content`` of the files under a path; content is null, and not read, of files over ``most_bytes``."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return raw.where(F.col("length") <= most_bytes).select(F.col("path").alias("file_id"), "length", "content")
+    small = raw.where(F.col("length") <= most_bytes).select(F.col("path").alias("file_id"), "length", "content")
+    large = raw.where(F.col("length") > most_bytes).select(F.col("path").alias("file_id"), "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def header_version(content: Column) -> Column:
@@ -213,7 +215,7 @@ def font_table(files: DataFrame, lenient: bool = False) -> DataFrame:
 
 
 def recovery(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """One row a file: how it loads, strictly and leniently. Never fails."""
+    """One row a file: how it loads, strictly and leniently. Never fails. Files that ``read_files`` left unread are too large."""
 
     def rows(_: Any, content: bytes) -> Iterator[tuple]:
         if len(content) > most_bytes:
@@ -225,7 +227,13 @@ def recovery(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
         report = pdf.report
         yield (strict is not None, report.warnings, report.xref_recovered, report.objects_skipped, n, len(pdf.pages()))
 
-    return each_file(files, rows, "strict_ok boolean, warnings array<string>, xref_recovered boolean, objects_skipped int, n_objects int, n_pages int")
+    found = each_file(files, rows, "strict_ok boolean, warnings array<string>, xref_recovered boolean, objects_skipped int, n_objects int, n_pages int")
+    if "length" not in files.columns:
+        return found
+    unread = files.where("content IS NULL AND length IS NOT NULL").selectExpr(
+        "file_id", "false AS strict_ok", "array('larger than the limit') AS warnings", "false AS xref_recovered", "0 AS objects_skipped", "0 AS n_objects", "0 AS n_pages"
+    )
+    return found.unionByName(unread)
 
 
 def doc_info(files: DataFrame, lenient: bool = False) -> DataFrame:

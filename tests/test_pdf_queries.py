@@ -122,3 +122,12 @@ def test_page_tree_has_no_row_limit(spark, sf):
         assert __spark_entry__.queries()["page_tree_recursive"](spark, sf).count() > 100
     finally:
         spark.conf.set(key, before)
+
+
+def test_large_files_are_reported(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 short")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.7 " + b"x" * 1000)
+    files = pdf.read_files(spark, str(tmp_path), most_bytes=100)
+    assert sorted((r.length, r.content is None) for r in files.collect()) == [(14, False), (1009, True)]
+    found = {r.file_id.rsplit("/", 1)[1]: r.warnings for r in pdf.recovery(files).collect()}
+    assert found["b.pdf"] == ["larger than the limit"] and found["a.pdf"] != found["b.pdf"] and len(found) == 2
