@@ -1,16 +1,20 @@
 """Sharded joins of documents with a table of values by key, in packed form.
 
-A document's n-grams or words are keys; a table holds a value for each key; wanted is each
+A document's n-grams or words are keys; a table holds values for each key; wanted is each
 document's sum of count times value. Joined row by row, every (document, key) pair would
 be a shuffled row. Here a chunk of documents is packed, for each shard of the key space,
 into one block: its distinct keys, and for each key the documents and counts, compressed.
 Blocks and table rows are shuffled by shard; each task streams through its shards, holding
-one shard's part of the table and one block, and adds up values per document. Where there
-are fewer shards than shuffle partitions, the blocks of a shard are dealt out to several
-tasks by a salt, and the shard's part of the table goes to each of them.
+one shard's part of the table and one block, and adds up values per document. The number
+of shards follows the table, the number of tasks the blocks: the blocks of a shard are dealt
+out to several tasks by a salt, and the shard's part of the table goes to each of them.
+Shard and salt make up the partition's number, so no two meet in a task by chance.
 
 Nothing is broadcast, the table may be of any size (more shards), and a key that all
 documents share is one key in each block.
+
+A document is named by its id and 32 bits of a hash of its text, so rows of one id with
+unlike texts stay apart; equal rows add up and share what is found for them.
 """
 
 from __future__ import annotations
@@ -19,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.textblocks import mix
+from folioframe.llm.filters import text_mark
 
 SHARD_KEYS = 1 << 20  # keys of the table in a shard, about
+TASK_BYTES = 16 << 20  # of text whose blocks go to one task, about
+MOST_PARTITIONS = 1 << 16
 _codec = pa.Codec("zstd", compression_level=1)
 
 
@@ -37,6 +43,28 @@ def shard_column(key, bits: int):
     return F.shiftrightunsigned(key, 64 - bits).cast("int")
 
 
+def salts(spark: SparkSession, bits: int, size: int) -> int:
+    """Tasks for a shard: in all as many as ``size`` bytes of text call for, and no fewer than the shuffle partitions."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    return max(1, min(tasks, MOST_PARTITIONS) >> bits)
+
+
+def to_place(df: DataFrame, places: int) -> DataFrame:
+    """``df`` with the rows of each place (column ``place``, from 0) in one partition; neighbours share it where places are very many."""
+    partitions = min(places, MOST_PARTITIONS)
+    at = F.col("place") if partitions == places else F.floor(F.col("place") * F.lit(partitions / places)).cast("int")
+    return df.repartitionById(partitions, at)
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """``docs`` (columns doc_id, text, ...) with the two parts of a document's name, ``row`` and ``row_text``."""
+    return docs.withColumn("row", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("row_text", text_mark(F.col("text")))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of equal significance together: high bytes are mostly zero and compress away."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
@@ -47,106 +75,129 @@ def _unplanes(raw: np.ndarray, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
 
 
-def _pack(rows: np.ndarray, keys: np.ndarray, spread: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
-    gaps = np.diff(docs.astype(np.uint16), prepend=np.uint16(0))
-    body = b"".join(
-        [
-            np.array([len(rows), len(keys), len(docs)], np.uint32).tobytes(),
-            _planes(rows),
-            _planes(np.diff(keys, prepend=np.uint64(0))),
-            _planes(spread.astype(np.uint32)),
-            _planes(gaps),
-            _planes(counts.astype(np.uint32)),
-        ]
-    )
+def pack_arrays(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers, compressed by planes of bytes."""
+    sizes = np.array([len(x) for x in arrays], np.uint32)
+    body = b"".join([sizes.tobytes(), *[_planes(x) for x in arrays]])
     return np.uint64(len(body)).tobytes() + _codec.compress(body, asbytes=True)
 
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_arrays(payload: bytes, kinds: list[type]) -> list[np.ndarray]:
     size = int(np.frombuffer(payload, np.uint64, 1)[0])
     raw = np.frombuffer(_codec.decompress(memoryview(payload)[8:], size, asbytes=True), np.uint8)
-    r, k, n = np.frombuffer(raw[:12], np.uint32).astype(int)
-    at, out = 12, []
-    for count, kind in ((r, np.uint64), (k, np.uint64), (k, np.uint32), (n, np.uint16), (n, np.uint32)):
-        width = count * np.dtype(kind).itemsize
-        out.append(_unplanes(raw[at : at + width], count, kind))
+    at, out = 4 * len(kinds), []
+    for n, kind in zip(raw[:at].view(np.uint32).astype(int), kinds, strict=True):
+        width = n * np.dtype(kind).itemsize
+        out.append(_unplanes(raw[at : at + width], n, kind))
         at += width
-    rows, keys, spread, gaps, counts = out
-    return rows, np.cumsum(keys, dtype=np.uint64), spread, np.cumsum(gaps, dtype=np.uint16), counts
+    return out
 
 
-def row_keys(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """A key for each row from its id and text hash: equal rows share it, and no others."""
-    return mix(mix(ids.astype(np.int64).view(np.uint64)) + texts)
+_BLOCK = [np.int64, np.int32, np.uint64, np.uint32, np.uint16, np.uint32]
 
 
-def pack_blocks(rows: np.ndarray, keys: np.ndarray, docs: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """Blocks by shard. ``keys`` is sorted, ``docs`` (positions in ``rows``) within each key."""
-    if not len(keys):
-        return
+def _pack(rows: tuple[np.ndarray, np.ndarray], keys: np.ndarray, spread: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
+    gaps = np.diff(docs.astype(np.uint16), prepend=np.uint16(0))
+    return pack_arrays([*rows, np.diff(keys, prepend=np.uint64(0)), spread.astype(np.uint32), gaps, counts.astype(np.uint32)])
+
+
+def _unpack(payload: bytes) -> tuple[np.ndarray, ...]:
+    ids, texts, keys, spread, gaps, counts = unpack_arrays(payload, _BLOCK)
+    return ids, texts, np.cumsum(keys, dtype=np.uint64), spread, np.cumsum(gaps, dtype=np.uint16), counts
+
+
+def pack_blocks(rows: tuple[np.ndarray, np.ndarray], keys: np.ndarray, docs: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Blocks by shard: ``shard, block``. ``rows`` names the documents; ``keys`` is sorted, ``docs`` (positions in ``rows``) within each key."""
+    shards, blocks = [], []
+    if len(keys):
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(new)
+        distinct = keys[first]
+        spread = np.diff(np.append(first, len(keys)))
+        edges = np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        edges = np.append(edges, len(distinct))
+        ends = np.append(first, len(keys))
+        for shard in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            i, j = edges[shard], edges[shard + 1]
+            a, b = ends[i], ends[j]
+            shards.append(shard)
+            blocks.append(_pack(rows, distinct[i:j], spread[i:j], docs[a:b], counts[a:b]))
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
+
+
+def counted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, document), sorted, and how often each comes; equal keys come in order of documents."""
+    order = np.argsort(keys, kind="stable")
+    keys, docs = keys[order], docs[order]
     new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
+    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
     first = np.flatnonzero(new)
-    distinct = keys[first]
-    spread = np.diff(np.append(first, len(keys)))
-    edges = np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    edges = np.append(edges, len(distinct))
-    ends = np.append(first, len(keys))
-    for shard in range(1 << bits):
-        i, j = edges[shard], edges[shard + 1]
-        if i < j:
-            a, b = ends[i], ends[j]
-            yield shard, _pack(rows, distinct[i:j], spread[i:j], docs[a:b], counts[a:b])
+    return keys[first], docs[first], np.diff(np.append(first, len(keys)))
 
 
-def join_blocks(blocks: DataFrame, table: DataFrame, bits: int, missing: float) -> DataFrame:
-    """``row, total, known``: per document row, the sum of count * value and the counts of known keys.
+def join_blocks(blocks: DataFrame, table: DataFrame, bits: int, size: int, special: int = 0) -> DataFrame:
+    """Per document ``row, row_text``, the sums of count * value for each column of values, ``of_special`` and ``alike``.
 
-    ``blocks``: ``shard int, block binary``; ``table``: ``key long, value double``, keys distinct.
-    ``missing`` is the value of keys that the table lacks. A row comes once for each shard
-    of a task: sum them up.
+    ``blocks``: ``shard int, block binary``; ``table``: ``key long`` and columns of doubles
+    (null is 0); values of repeated keys add up, keys that it lacks count as 0. ``size`` is about
+    the bytes of the texts. ``of_special`` is the count of the key ``special``, and ``alike`` the
+    number of rows that have it. A document comes once for each shard: sum up.
     """
-    salts = max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) >> bits)
-    place = F.col("shard") * salts
-    left = table.select(shard_column(F.col("key"), bits).alias("shard"), "key", "value", F.lit(None).cast("binary").alias("block"))
-    left = left.withColumn("shard", F.explode(F.sequence(place, place + (salts - 1))))
-    right = blocks.select("shard", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "block")
-    right = right.withColumn("shard", (place + F.pmod(F.xxhash64("block"), F.lit(salts))).cast("int"))
-    both = left.unionByName(right).repartition(salts << bits, "shard").sortWithinPartitions("shard", F.col("block").isNotNull())
+    dealt = salts(table.sparkSession, bits, size)
+    columns = [c for c in table.columns if c != "key"]
+    width = len(columns)
+    shard = shard_column(F.col("key"), bits)
+    places = F.explode(F.sequence(shard * dealt, shard * dealt + (dealt - 1))) if dealt > 1 else shard
+    left = table.select(places.alias("place"), shard.alias("shard"), "key", *columns, F.lit(None).cast("binary").alias("block"))
+    place = (F.col("shard") * dealt + F.pmod(F.xxhash64("block"), F.lit(dealt))).cast("int")
+    right = blocks.select(place.alias("place"), "shard", F.lit(None).cast("long").alias("key"), *[F.lit(None).cast("double").alias(c) for c in columns], "block")
+    both = to_place(left.unionByName(right), dealt << bits).sortWithinPartitions("shard", F.col("block").isNotNull())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts = None, []
-        keys, values = np.zeros(0, np.uint64), np.zeros(0)
+        keys, values = np.zeros(0, np.uint64), np.zeros((width, 0))
         for batch in batches:
-            shards = batch.column(0).to_numpy()
-            is_block = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            shards, payloads = batch.column(1).to_numpy(), batch.column(3 + width)
+            is_block = payloads.is_valid().to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero((np.diff(shards) != 0) | np.diff(is_block)) + 1
             for i, j in zip([0, *cuts], [*cuts, len(shards)], strict=True):
                 if i == j:
                     continue
                 if shards[i] != shard:
                     shard, parts = shards[i], []
-                    keys, values = np.zeros(0, np.uint64), np.zeros(0)
+                    keys, values = np.zeros(0, np.uint64), np.zeros((width, 0))
                 if not is_block[i]:
                     part = batch.slice(i, j - i)
-                    parts.append((part.column(1).to_numpy().view(np.uint64), part.column(2).to_numpy()))
+                    numbers = [part.column(3 + c).fill_null(0.0).to_numpy() for c in range(width)]
+                    parts.append((part.column(2).to_numpy().view(np.uint64), np.array(numbers)))
                     continue
                 if parts:
-                    keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    order = np.argsort(keys)
-                    keys, values, parts = keys[order], values[order], []
-                for payload in batch.column(3).slice(i, j - i):
-                    rows, own, spread, docs, counts = _unpack(payload.as_py())
-                    at = np.searchsorted(keys, own)
-                    at[at == len(keys)] = 0
-                    found = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-                    value = np.where(found, values[at] if len(keys) else missing, missing)
-                    total = np.bincount(docs, np.repeat(value, spread) * counts, len(rows))
-                    known = np.bincount(docs, np.repeat(found, spread) * counts, len(rows))
-                    some = np.bincount(docs, minlength=len(rows)) > 0
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[some].view(np.int64)), pa.array(total[some]), pa.array(known[some].astype(np.int64))],
-                        ["row", "total", "known"],
-                    )
-
-    return both.mapInArrow(emit, "row long, total double, known long")
+                    keys, values = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts], axis=1))
+                    parts = []
+                for payload in payloads.slice(i, j - i):
+                    ids, texts, own, spread, docs, counts = _unpack(payload.as_py())
+                    out = []
+                    if len(keys):
+                        at = np.searchsorted(keys, own)
+                        at[at == len(keys)] = 0
+                        found = keys[at] == own
+                        out = [np.bincount(docs, np.repeat(np.where(found, v[at], 0.0), spread) * counts, len(ids)) for v in values]
+                    else:
+                        out = [np.zeros(len(ids)) for _ in columns]
+                    marked = np.repeat(own == np.uint64(special), spread)
+                    out.append(np.bincount(docs[marked], counts[marked], len(ids)).astype(np.int64))
+                    out.append(np.bincount(docs[marked], minlength=len(ids)))
+                    some = np.bincount(docs, minlength=len(ids)) > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, texts, *out)], ["row", "row_text", *columns, "of_special", "alike"])
+
+    doubles = "".join(f"{c} double, " for c in columns)
+    return both.mapInArrow(emit, f"row long, row_text int, {doubles}of_special long, alike long")
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed values."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[:, order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return (keys, values) if len(first) == len(keys) else (keys[first], np.add.reduceat(values, first, axis=1))

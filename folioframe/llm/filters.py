@@ -1,28 +1,45 @@
-"""Taking out a list of ids without shuffling all texts."""
+"""Taking out a list of documents without shuffling all texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BITS = 23
 
 
-def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose id is in ``bad`` (column ``bad_id``, repeats allowed).
+def text_mark(text: Column) -> Column:
+    """32 bits of a hash of a text, which tell texts of one id apart."""
+    return F.shiftright(F.xxhash64(text), 32).cast("int")
+
 
-    A bitmap of 2^23 bits over the bad ids' hashes (2^17 longs at most, whatever the
-    input) is broadcast. Rows whose bit is unset pass at once; only the others are
-    shuffled and joined with the ids. Rows with a null id stay.
+def marked_by(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows whose id is surely not in ``ids`` (column ``__id``), and the others, with ``__id``.
+
+    A bitmap of 2^23 bits over the hashes of the ids (2^17 longs at most, whatever the
+    input) is broadcast. Rows with a null id are surely not in it.
     """
     place = F.shiftrightunsigned(F.xxhash64("__id"), 64 - _BITS)
     slot = F.shiftright(place, 6).cast("int")
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(__id), {64 - _BITS}) & 63 as int))")
-    bad = bad.select(F.col("bad_id").cast("long").alias("__id")).where("__id is not null").distinct()
-    slots = bad.groupBy(slot.alias("__slot")).agg(F.bit_or(bit).alias("__bits"))
+    slots = ids.groupBy(slot.alias("__slot")).agg(F.bit_or(bit).alias("__bits"))
     marked = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__slot", slot)
     marked = marked.join(F.broadcast(slots), "__slot", "left")
     maybe = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False)) & F.col("__id").isNotNull()
-    sure = marked.where(~maybe)
-    doubtful = marked.where(maybe).join(bad, "__id", "left_anti")
-    return sure.select(docs.columns).unionByName(doubtful.select(docs.columns))
+    return marked.where(~maybe).select(docs.columns), marked.where(maybe).select(*docs.columns, "__id")
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str | None = None) -> DataFrame:
+    """``docs`` less the rows whose id is in ``bad`` (column ``bad_id``, repeats allowed).
+
+    Where ``text_col`` is given, ``bad`` has a ``bad_text`` too (the text's mark): of an id
+    that comes with unlike texts, only the rows with that text go. Rows that a bitmap of
+    fixed size shows not to be there pass at once; only the others are shuffled and joined.
+    Rows with a null id stay.
+    """
+    keys = ["__id"] + ["__mark"] * bool(text_col)
+    bad = bad.select(F.col("bad_id").cast("long").alias("__id"), *[F.col("bad_text").alias("__mark")] * bool(text_col)).where("__id is not null").distinct()
+    sure, doubtful = marked_by(docs, bad, id_col)
+    if text_col:
+        doubtful = doubtful.withColumn("__mark", text_mark(F.col(text_col)))
+    return sure.unionByName(doubtful.join(bad, keys, "left_anti").select(docs.columns))

@@ -11,20 +11,27 @@ distinct successors would cost by chance (a penalised likelihood-ratio test).
 Distributions are smoothed towards the suffix's (Witten-Bell), down to the base model. A
 token is scored by the longest retained suffix of what stands before it.
 
-N-grams are counted in packed blocks, sharded by context; probabilities of the level below
-and retained contexts are joined as tables. A token's log probability is the base's plus,
-for each n-gram that ends there, a value of that n-gram: its gain over backing off if its
-context is retained, and its own back-off weight (what follows it pays that, and something
-always follows words). So documents join with the tree as with the base model, in packed
-blocks (see ``blocks``). All that is broadcast are bitmaps of at most 2^27 bits that spare
-shuffling n-grams that are not wanted; they never decide a result.
+N-grams are counted in packed blocks. An n-gram can only come ``LEAST`` times if the one
+without its first and the one without its last word do, so bitmaps of those of the level
+below (2^27 bits at most) spare most of the others; they never decide a result. Blocks are
+sharded by the n-gram's suffix, so that the probability to back off to lies in the same
+shard; it goes there as a table. Suffixes with a share of 1/4,096 of all tokens, of which
+there are 4,096 at most, would make a shard hot: their n-grams are spread out instead and
+their probabilities are broadcast. A context's total is its own count one level below.
+Totals and sums by context are joins and aggregates of the n-grams that count.
+
+A token's log probability is the base's plus, for each n-gram that ends there, a value of
+that n-gram: its gain over backing off if its context is retained, and its own back-off
+weight (what follows it pays that, and something always follows words). So documents join
+with the tree and the base model at once, in packed blocks (see ``blocks``).
 
 The base model counts every word of every training text, sharded by word.
 
 Defined results: a null text is an empty one, which has its end as the only token; a null
-id is not learned from and not held out; repeated rows give repeated results; without
-training rows all scores are 0 (the one probability is 1). Only the id and text columns
-are read.
+id is not learned from and not held out; repeated rows give repeated results, and rows of
+one id with unlike texts are scored each by its own text; without training rows all scores
+are 0 (the one probability is 1); an empty table gives an empty result. Texts of any length
+are read whole. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -37,16 +44,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.blocks import join_blocks, pack_blocks, row_keys, shard_bits
+from folioframe.llm.blocks import counted, join_blocks, named, pack_arrays, pack_blocks, shard_bits, to_place, unpack_arrays
 from folioframe.llm.scratch import Scratch, cut
-from folioframe.llm.textblocks import Words, as_long, chunks, mix, prefix_sums
+from folioframe.llm.textblocks import Words, as_long, chunks, mix
 
 LEAST = 2  # occurrences of a context, and of a successor that has a probability of its own there
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
 _BASE = np.uint64(0xD1342543DE82EF95)
+HOT = 4096  # a suffix with this part of all tokens has its n-grams spread over all shards
+_GATHERED = 4_000_000  # n-grams held before equal ones are added up
 _MOST_BITS = 27  # of a bitmap's size
 _BITS = np.uint64(16)  # of a symbol in a packed context
-_codec = pa.Codec("zstd", compression_level=1)
 
 
 @dataclass
@@ -146,7 +154,7 @@ class Tree:
         self.contexts.append(contexts[keep])
         self.states.append(number[keep])
         self.parent = np.append(self.parent, parents[keep])
-        self.backoff = np.append(self.backoff, (kinds / (total + kinds))[keep])
+        self.backoff = np.append(self.backoff, (kinds[keep] / (total + kinds)[keep]))
         kept = number[context] >= 0
         c, s = context[kept], symbol[kept]
         entries = (number[c].astype(np.uint64) << _BITS) | s.astype(np.uint64)
@@ -167,8 +175,10 @@ def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([as_long(keys), pa.array(counts)], ["key", "count"])
+        keys = np.concatenate(held)
+        keys.sort()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return pa.RecordBatch.from_arrays([as_long(keys[first]), pa.array(np.diff(np.append(first, len(keys))))], ["key", "count"])
 
     held, size = [], 0
     for batch in batches:
@@ -203,9 +213,9 @@ def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
     return mix(key + np.uint64(len(columns)))
 
 
-def keys_ending(symbols: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the n-grams that end at the positions ``at``."""
-    return gram_keys([symbols[at - j] for j in range(n - 1, -1, -1)])
+def all_keys(symbols: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n-grams that end at each position, of no use where so many symbols are not there."""
+    return gram_keys([np.roll(symbols, j) for j in range(n - 1, -1, -1)])
 
 
 def bitmap(keys: DataFrame, n: int) -> np.ndarray:
@@ -224,200 +234,187 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _gram_blocks(length: int, bits: int, shared):
-    """Blocks, by shard of the context, of a chunk's distinct (context, next symbol) and their counts."""
+def distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns of numbers below ``size``, and how often each comes."""
+    width = max(1, (size - 1).bit_length())
+    if width * len(columns) <= 64:
+        code = columns[0].astype(np.uint64)
+        for c in columns[1:]:
+            code = (code << np.uint64(width)) | c.astype(np.uint64)
+        code.sort()
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        counts, code = np.diff(np.append(first, len(code))), code[first]
+        mask = np.uint64((1 << width) - 1)
+        return [(code >> np.uint64(width * j)) & mask for j in range(len(columns) - 1, -1, -1)], counts
+    order = np.lexsort(columns[::-1])
+    columns = [c[order].astype(np.uint64) for c in columns]
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+
+
+def _gram_blocks(n: int, bits: int, often, hot):
+    """Blocks, by shard of the suffix, of a chunk's distinct n-grams and their counts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in chunks(batch.column(0), lower=True):
-                symbols, depth = sequence(words)
-                at = np.flatnonzero(depth >= length)
-                context = keys_ending(symbols, at - 1, length)
-                if shared is not None:
-                    wanted = marked(shared.value, context)
-                    at, context = at[wanted], context[wanted]
+                symbols, back = sequence(words)
+                at = np.flatnonzero(back >= n - 1)
+                if often is not None:
+                    known = marked(often.value, all_keys(symbols, n - 1))
+                    at = at[known[at] & known[at - 1]]
                 if not len(at):
                     continue
-                _, first, counts = np.unique(keys_ending(symbols, at, length + 1), return_index=True, return_counts=True)
-                order = np.argsort(context[first])
-                first, counts = first[order], counts[order]
-                shard = (context[first] >> np.uint64(64 - bits)).astype(np.int64)
-                edges = np.searchsorted(shard, np.arange((1 << bits) + 1))
-                at = at[first]
-                used = [k for k in range(1 << bits) if edges[k] < edges[k + 1]]
-                packed = [_pack_grams([symbols[at[edges[k] : edges[k + 1]] - j] for j in range(length, -1, -1)], counts[edges[k] : edges[k + 1]]) for k in used]
+                vocabulary, numbers = np.unique(symbols, return_inverse=True)
+                columns, counts = distinct([numbers[at - j] for j in range(n - 1, -1, -1)], len(vocabulary))
+                hashes = [vocabulary[c] for c in columns]
+                place = gram_keys(hashes[1:])
+                spread_out = lookup(hot.value[0], place) >= 0
+                place = np.where(spread_out, gram_keys(hashes), place)
+                shard = place >> np.uint64(64 - bits)
+                order = np.argsort(shard.astype(np.uint16) if bits <= 16 else shard, kind="stable")
+                columns, counts = [c[order] for c in columns], counts[order]
+                edges = np.searchsorted(shard[order], np.arange((1 << bits) + 1, dtype=np.uint64))
+                used = np.flatnonzero(edges[1:] > edges[:-1]).tolist()
+                packed = [_pack_grams([c[edges[k] : edges[k + 1]] for c in columns], counts[edges[k] : edges[k + 1]], vocabulary) for k in used]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["shard", "block"])
 
     return emit
 
 
-def _pack_grams(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+def _pack_grams(columns: list[np.ndarray], counts: np.ndarray, vocabulary: np.ndarray) -> bytes:
     known, places = np.unique(np.concatenate(columns), return_inverse=True)
-    numbers = np.concatenate([places.astype(np.uint32), counts.astype(np.uint32)])
-    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes()
-    body = np.array([len(known), len(counts)], np.uint64).tobytes() + known.tobytes() + planes
-    return np.uint64(len(body)).tobytes() + _codec.compress(body, asbytes=True)
-
-
-def _unpack_grams(payload: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    size = int(np.frombuffer(payload, np.uint64, 1)[0])
-    raw = np.frombuffer(_codec.decompress(memoryview(payload)[8:], size, asbytes=True), np.uint8)
-    words, n = raw[:16].view(np.uint64).astype(int)
-    known = raw[16 : 16 + 8 * words].view(np.uint64)
-    numbers = np.ascontiguousarray(raw[16 + 8 * words :].reshape(4, -1).T).view(np.uint32).ravel()
-    return [known[numbers[j * n : (j + 1) * n]] for j in range(width)], numbers[width * n :].astype(np.int64)
-
-
-_LEVEL = "context long, gram long, suffix long, word boolean, count long, kinds long, ones long"
-
-
-def _merge(length: int):
-    """Rows of (context, next symbol) seen ``LEAST`` times, and a row without gram for each context seen as often."""
-
-    def merged(parts: list) -> pa.RecordBatch:
-        context, gram, suffix, word, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((gram, context))
-        context, gram, suffix, word, count = (x[order] for x in (context, gram, suffix, word, count))
-        first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])))
-        context, gram, suffix, word, count = context[first], gram[first], suffix[first], word[first], np.add.reduceat(count, first)
-        start = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-        total = np.add.reduceat(count, start)
-        kinds = np.diff(np.append(start, len(context)))
-        ones = np.add.reduceat(np.where(count < LEAST, count, 0), start)
-        some, own = count >= LEAST, total >= LEAST
-        n, m = int(some.sum()), int(own.sum())
-        joined = lambda a, b: pa.concat_arrays([a, b])
-        return pa.RecordBatch.from_arrays(
-            [
-                joined(as_long(context[some]), as_long(context[start][own])),
-                joined(as_long(gram[some]), pa.nulls(m, pa.int64())),
-                joined(as_long(suffix[some]), pa.nulls(m, pa.int64())),
-                joined(pa.array(word[some]), pa.nulls(m, pa.bool_())),
-                pa.array(np.append(count[some], total[own])),
-                joined(pa.nulls(n, pa.int64()), pa.array(kinds[own])),
-                joined(pa.nulls(n, pa.int64()), pa.array(ones[own])),
-            ],
-            ["context", "gram", "suffix", "word", "count", "kinds", "ones"],
-        )
+    return pack_arrays([vocabulary[known], places.astype(np.uint32), counts.astype(np.uint32)])
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, parts = None, []
-        for batch in batches:
-            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if shard != last and parts:
-                    yield merged(parts)
-                    parts = []
-                last = shard
-                columns, count = _unpack_grams(payload.as_py(), length + 1)
-                parts.append((gram_keys(columns[:-1]), gram_keys(columns), gram_keys(columns[1:]), columns[-1] != END, count))
-        if parts:
-            yield merged(parts)
 
-    return emit
+def _unpack_grams(payload: bytes, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    known, places, counts = unpack_arrays(payload, [np.uint64, np.uint32, np.uint32])
+    return [known[p] for p in places.reshape(n, -1)], counts.astype(np.int64)
 
 
-def _tree_blocks(shared, depth: int, bits: int):
-    """Blocks of each chunk's n-grams that the tree may have a value for."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for words in chunks(batch.column(1), 2 << 20, lower=True):
-                symbols, back = sequence(words)
-                doc = np.repeat(np.arange(words.hi - words.lo), np.diff(words.offsets) + 1)
-                found: list[tuple[np.ndarray, np.ndarray]] = []
-                for n in range(1, depth + 2):
-                    at = np.flatnonzero(back >= n - 1)
-                    keys = keys_ending(symbols, at, n)
-                    wanted = marked(shared.value, keys)
-                    found.append((keys[wanted], doc[at[wanted]]))
-                keys, docs = (np.concatenate(x) for x in zip(*found, strict=True))
-                packed = list(pack_blocks(text_rows(words, ids[words.lo : words.hi]), *_counted(keys, docs), bits))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], ["shard", "block"]
-                )
+_ENTRIES = "context long, gram long, count long, above double"
 
-    return emit
 
+def _merge(n: int, hot):
+    """The n-grams that come ``LEAST`` times, and the probabilities they back off to.
 
-def _counted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, document), sorted, and how often each comes; equal keys come in order of documents."""
-    order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    first = np.flatnonzero(new)
-    return keys[first], docs[first], np.diff(np.append(first, len(keys)))
-
+    Columns place, shard, key, p, block, sorted: for each shard the table first, then blocks.
+    """
 
-def text_rows(words: Words, ids: np.ndarray) -> np.ndarray:
-    """A key for each document of a chunk; equal rows share it."""
-    sums, down = prefix_sums(words.hashes)
-    lo, hi = words.offsets[:-1], words.offsets[1:]
-    return row_keys(ids, mix((sums[hi] - sums[lo]) * down[lo] + np.diff(words.offsets).astype(np.uint64)))
+    def add_up(parts: list) -> list:
+        columns, keys, counts = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return [(columns[:, order[first]], keys[first], np.add.reduceat(counts[order], first))]
+
+    def entries(table: list, parts: list) -> pa.RecordBatch:
+        columns, keys, counts = add_up(parts)[0]
+        some = counts >= LEAST
+        columns, keys, counts = [c[some] for c in columns], keys[some], counts[some]
+        suffix = gram_keys(columns[1:])
+        known, p = (np.concatenate(x) for x in zip(*table, strict=True)) if table else (np.zeros(0, np.uint64), np.zeros(0))
+        order = np.argsort(known)
+        known, p = np.append(known[order], np.uint64(0)), np.append(p[order], np.nan)
+        at = lookup(hot.value[0], suffix)
+        above = np.where(at >= 0, np.append(hot.value[1], np.nan)[at], p[np.searchsorted(known[:-1], suffix)])
+        return pa.RecordBatch.from_arrays([as_long(gram_keys(columns[:-1])), as_long(keys), pa.array(counts), pa.array(above)], ["context", "gram", "count", "above"])
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, table, parts, size, limit = None, [], [], 0, _GATHERED
+        for batch in batches:
+            shards, payloads = batch.column(1).to_numpy(), batch.column(4)
+            is_block = payloads.is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(shards) != 0) | np.diff(is_block)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(shards)], strict=True):
+                if i == j:
+                    continue
+                if shards[i] != last:
+                    if parts:
+                        yield entries(table, parts)
+                    last, table, parts, size, limit = shards[i], [], [], 0, _GATHERED
+                if not is_block[i]:
+                    part = batch.slice(i, j - i)
+                    table.append((part.column(2).to_numpy().view(np.uint64), part.column(3).to_numpy()))
+                    continue
+                for payload in payloads.slice(i, j - i):
+                    columns, counts = _unpack_grams(payload.as_py(), n)
+                    parts.append((np.array(columns), gram_keys(columns), counts))
+                    size += len(counts)
+                    if size > limit:
+                        parts = add_up(parts)
+                        size = len(parts[0][1])
+                        limit = max(_GATHERED, 2 * size)
+        if parts:
+            yield entries(table, parts)
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, shard int, block binary"
+    return emit
 
 
-def _score(bits: int):
-    """A row for each document, and blocks for the base model."""
+def _tree_blocks(shared, depth: int, bits: int):
+    """Columns row, row_text, text: blocks of each chunk's n-grams that the table may have a value for, and of numbers of tokens."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "held_out", "n_tokens", "shard", "block"]
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for words in chunks(batch.column(1), lower=True):
-                n = words.hi - words.lo
-                sizes = np.diff(words.offsets)
-                rows = text_rows(words, ids[words.lo : words.hi])
-                own, out = (batch.column(c).slice(words.lo, n) for c in (0, 2))
-                yield pa.RecordBatch.from_arrays([as_long(rows), own, out, pa.array(sizes + 1), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-                packed = list(pack_blocks(rows, *_counted(words.hashes, np.repeat(np.arange(n), sizes)), bits))
-                empty = [pa.nulls(len(packed), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [*empty, pa.array([s for s, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], names
-                )
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for words in chunks(batch.column(2), 2 << 20, lower=True):
+                symbols, back = sequence(words)
+                sizes = np.diff(words.offsets) + 1
+                doc = np.repeat(np.arange(words.hi - words.lo), sizes)
+                found: list[tuple[np.ndarray, np.ndarray]] = [(np.full(len(doc), END), doc)]
+                for n in range(1, depth + 2):
+                    keys = all_keys(symbols, n)
+                    wanted = marked(shared.value, keys) & (back >= n - 1) & (keys != END)
+                    found.append((keys[wanted], doc[wanted]))
+                keys, docs = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pack_blocks((ids[words.lo : words.hi], texts[words.lo : words.hi]), *counted(keys, docs), bits)
 
     return emit
 
 
-def grow_tree(train: DataFrame, base: DataFrame, tokens: int, depth: int, scratch: Scratch) -> DataFrame:
-    """``key, value``: what each n-gram adds to the base's log10 probabilities. ``base``: ``key, p`` of single symbols."""
+def grow_tree(train: DataFrame, counts: DataFrame, tokens: int, scale: float, ends: int, depth: int, scratch: Scratch) -> DataFrame:
+    """``key, value``: what each n-gram adds to the base's log10 probabilities. ``counts``: ``key, count`` of words."""
     spark = train.sparkSession
-    bits = max(shard_bits(tokens >> 2), (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    below, values, shared = base, [], None
+    bits = max(shard_bits(tokens >> 1), (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    below = counts.where(F.col("count") >= LEAST).select("key", "count", ((F.col("count") + 1) / F.lit(float(scale))).alias("p"))
+    often, values = None, []
     for length in range(1, depth + 1):
-        blocks = train.mapInArrow(_gram_blocks(length, bits, shared), "shard int, block binary")
-        blocks = blocks.repartition(1 << bits, "shard").sortWithinPartitions("shard")
-        level = scratch.put_clean(blocks.mapInArrow(_merge(length), _LEVEL), f"level{length}")
-        entries = level.where("gram is not null").select("context", "gram", "suffix", "count")
-        entries = entries.join(below.select(F.col("key").alias("suffix"), F.col("p").alias("above")), "suffix").drop("suffix")
-        entries = scratch.put_clean(entries, f"entries{length}")
-        sums = entries.groupBy("context").agg(F.sum(F.col("count") * F.ln(F.col("count") / F.col("above"))).alias("inner"), F.sum("above").alias("mass"))
-        contexts = level.where("gram is null").select("context", F.col("count").alias("total"), "kinds", "ones").join(sums, "context")
-        new = F.when(F.col("ones") > 0, F.col("ones") * F.ln(F.col("ones") / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
-        gain = F.col("inner") - (F.col("total") - F.col("ones")) * F.ln("total") + new
-        outcomes = F.col("kinds") - F.col("ones") + (F.col("ones") > 0).cast("int")
-        weight = F.col("total") + F.col("kinds") - F.col("ones")
-        retained = contexts.where(gain > 0.5 * outcomes * F.ln("total")).select("context", weight.alias("weight"), (F.col("kinds") / weight).alias("backoff"))
+        busy = below.where(F.col("count") * HOT >= tokens).select("key", "p").toArrow()  # HOT rows at most
+        hot_keys, hot_p = busy["key"].to_numpy().view(np.uint64), busy["p"].to_numpy()
+        if length == 1:
+            hot_keys, hot_p = np.append(hot_keys, END), np.append(hot_p, (ends + 1) / scale)
+        order = np.argsort(hot_keys)
+        hot = spark.sparkContext.broadcast((hot_keys[order], hot_p[order]))
+        blocks = train.mapInArrow(_gram_blocks(length + 1, bits, often, hot), "shard int, block binary")
+        shard = F.shiftrightunsigned("key", 64 - bits).cast("int")
+        table = below.select(shard.alias("place"), shard.alias("shard"), "key", "p", F.lit(None).cast("binary").alias("block"))
+        blocks = blocks.select(F.col("shard").alias("place"), "shard", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("p"), "block")
+        both = to_place(table.unionByName(blocks), 1 << bits).sortWithinPartitions("shard", F.col("block").isNotNull())
+        entries = scratch.put_clean(both.mapInArrow(_merge(length + 1, hot), _ENTRIES), f"entries{length}")
+        parts = F.sum(F.col("count") * F.ln(F.col("count") / F.col("above"))).alias("inner"), F.sum("above").alias("mass"), F.sum("count").alias("known"), F.count("*").alias("often")
+        contexts = entries.groupBy("context").agg(*parts).join(below.select(F.col("key").alias("context"), F.col("count").alias("total")), "context")
+        ones = F.col("total") - F.col("known")
+        new = F.when(ones > 0, ones * F.ln(ones / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
+        gain = F.col("inner") - F.col("known") * F.ln("total") + new
+        outcomes = F.col("often") + (ones > 0).cast("int")
+        weight = F.col("total") + F.col("often")
+        retained = contexts.where(gain > 0.5 * outcomes * F.ln("total")).select("context", weight.alias("weight"), ((F.col("often") + ones) / weight).alias("backoff"))
         retained = scratch.put_clean(retained, f"retained{length}")
         p = F.coalesce(F.col("count") / F.col("weight") + F.col("backoff") * F.col("above"), "above")
         value = F.coalesce(F.log10(p / F.col("above") / F.col("backoff")), F.lit(0.0))
-        if length < depth:
-            frequent = level.where("word").select(F.col("gram").alias("key"))
-            shared = spark.sparkContext.broadcast(bitmap(frequent, frequent.count()))
-        scratch.drop(f"level{length}")
-        below = scratch.put_clean(entries.join(retained, "context", "left").select(F.col("gram").alias("key"), p.alias("p"), value.alias("value")), f"p{length}")
+        below = entries.join(retained, "context", "left").select(F.col("gram").alias("key"), "count", p.alias("p"), value.alias("value"))
+        below = scratch.put_clean(below, f"level{length}")
         scratch.drop(f"entries{length}")
+        if length < depth:
+            often = spark.sparkContext.broadcast(bitmap(below, below.count()))
         values += [below.where("value <> 0").select("key", "value"), retained.select(F.col("context").alias("key"), F.log10("backoff").alias("value"))]
     table = values[0]
     for more in values[1:]:
         table = table.unionByName(more)
-    table = scratch.put_clean(table.groupBy("key").agg(F.sum("value").alias("value")), "tree")
-    for length in range(1, depth + 1):
-        scratch.drop(f"p{length}")
-        scratch.drop(f"retained{length}")
     return table
 
 
@@ -432,49 +429,41 @@ def score_texts(
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``held_out`` tells which rows are not learned from (default: crc32 of the id as text,
-    modulo 7, is 2). Contexts have up to ``depth`` words.
+    modulo 7, is 2). Contexts have up to ``depth`` words, from 1 on.
     """
-    if not 1 <= depth <= 4:
-        raise ValueError("depth must be 1 to 4")
+    if depth < 1:
+        raise ValueError("depth must be 1 or more")
     spark = docs.sparkSession
     out = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(7)) == 2 if held_out is None else held_out
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
+    texts = named(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out")))
     train = texts.where("not held_out").select("text")
     with Scratch(spark) as scratch:
         counts = train.mapInArrow(_word_counts, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
-        counts = scratch.put(counts, "counts")
+        counts = scratch.put_clean(counts, "counts")
         ends = train.count()
         words, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
         total = tokens + ends
         scale = total + words + (ends > 0) + 1
-        end = (ends + 1) / scale
-        one = spark.range(1).select(F.lit(int(END.view(np.int64))).alias("key"), F.lit(float(end)).alias("p"))
-        base = counts.select("key", ((F.col("count") + 1) / F.lit(float(scale))).alias("p")).unionByName(one)
-        tree = grow_tree(train, base, total, depth, scratch)
-        keys = tree.count()
-        shared = spark.sparkContext.broadcast(bitmap(tree, keys))
+        tree = grow_tree(train, counts, total, scale, ends, depth, scratch)
+        none = F.lit(None).cast("double")
+        table = tree.select("key", "value", none.alias("base"), none.alias("known"))
+        table = table.unionByName(counts.select("key", none.alias("value"), F.log10(F.col("count") + 1).alias("base"), F.lit(1.0).alias("known")))
+        keys = table.count()
+        shared = spark.sparkContext.broadcast(bitmap(table, keys))
         bits = shard_bits(keys)
-        blocks = texts.mapInArrow(_tree_blocks(shared, depth, bits), "shard int, block binary")
-        gains = scratch.put_clean(join_blocks(blocks, tree, bits, 0.0).groupBy("row").agg(F.sum("total").alias("gain")), "gains")
-        scratch.drop("tree")
-        bits = shard_bits(words)
-        scored = scratch.put(texts.mapInArrow(_score(bits), _SCORED), "scored")
-        table = counts.select("key", F.log10((F.col("count") + 1) / F.lit(float(scale))).alias("value"))
-        blocks = scored.where("block is not null").select("shard", "block")
-        sums = join_blocks(blocks, table, bits, float(np.log10(1 / scale)))
-        sums = sums.groupBy("row").agg(F.sum("total").alias("total"), F.sum("known").alias("known"))
-        rows = scored.where("block is null").drop("shard", "block")
-        alike = rows.groupBy("row").agg(F.count("*").alias("alike"))
-        sums = sums.join(alike, "row").select("row", (F.col("total") / F.col("alike")).alias("total"), (F.col("known") / F.col("alike")).cast("long").alias("known"))
-        gains = gains.join(alike, "row").select("row", (F.col("gain") / F.col("alike")).alias("gain"))
-        base_score = F.coalesce("total", F.lit(0.0)) + float(np.log10(end))
-        result = rows.join(sums, "row", "left").join(gains, "row", "left").select(
+        blocks = texts.select("row", "row_text", "text").mapInArrow(_tree_blocks(shared, depth, bits), "shard int, block binary")
+        sums = join_blocks(blocks, table, bits, 8 * total, int(END)).groupBy("row", "row_text")
+        sums = sums.agg(*[F.sum(c).alias(c) for c in ("value", "base", "known", "of_special", "alike")])
+        each = [(F.col(c) / F.col("alike")).alias(c) for c in ("value", "base", "known", "of_special")]
+        sums = scratch.put_clean(sums.select("row", "row_text", *each), "sums")
+        base_score = F.col("base") + float(np.log10(ends + 1)) + F.col("of_special") * F.lit(float(np.log10(1 / scale)))
+        result = texts.drop("text").join(sums, ["row", "row_text"]).select(
             "doc_id",
             F.coalesce("held_out", F.lit(False)).alias("held_out"),
-            "n_tokens",
-            (F.coalesce("known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
+            F.col("of_special").cast("long").alias("n_tokens"),
+            (F.round("known") + int(ends > 0)).cast("long").alias("n_known"),
             F.lit(int(total)).cast("long").alias("train_tokens"),
             base_score.alias("base_score"),
-            (base_score + F.coalesce("gain", F.lit(0.0))).alias("score"),
+            (base_score + F.col("value")).alias("score"),
         )
         return cut(result)
