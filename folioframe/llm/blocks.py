@@ -67,7 +67,7 @@ def text_bytes(docs: DataFrame) -> int:
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of equal significance together: high bytes are mostly zero and compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _unplanes(raw: np.ndarray, n: int, kind: type) -> np.ndarray:
@@ -77,16 +77,18 @@ def _unplanes(raw: np.ndarray, n: int, kind: type) -> np.ndarray:
 
 def pack_arrays(arrays: list[np.ndarray]) -> bytes:
     """Arrays of numbers, compressed by planes of bytes."""
-    sizes = np.array([len(x) for x in arrays], np.uint32)
+    sizes = np.array([len(arrays), *[len(x) for x in arrays]], np.uint32)
     body = b"".join([sizes.tobytes(), *[_planes(x) for x in arrays]])
     return np.uint64(len(body)).tobytes() + _codec.compress(body, asbytes=True)
 
 
 def unpack_arrays(payload: bytes, kinds: list[type]) -> list[np.ndarray]:
+    """The first arrays of a block, of these kinds."""
     size = int(np.frombuffer(payload, np.uint64, 1)[0])
     raw = np.frombuffer(_codec.decompress(memoryview(payload)[8:], size, asbytes=True), np.uint8)
-    at, out = 4 * len(kinds), []
-    for n, kind in zip(raw[:at].view(np.uint32).astype(int), kinds, strict=True):
+    arrays = int(raw[:4].view(np.uint32)[0])
+    at, out = 4 + 4 * arrays, []
+    for n, kind in zip(raw[4:at].view(np.uint32).astype(int), kinds, strict=False):
         width = n * np.dtype(kind).itemsize
         out.append(_unplanes(raw[at : at + width], n, kind))
         at += width
@@ -136,60 +138,105 @@ def counted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], docs[first], np.diff(np.append(first, len(keys)))
 
 
-def join_blocks(blocks: DataFrame, table: DataFrame, bits: int, size: int, special: int = 0) -> DataFrame:
+TABLE, BLOCK = 0, 1  # what a row of a sharded join holds; the table comes first
+
+
+def sharded(keys: np.ndarray, bits: int) -> tuple[np.ndarray, Iterator[tuple[int, slice]]]:
+    """An order of ``keys`` by shard (and sorted within), and each shard's slice of it."""
+    order = np.argsort(keys)
+    shards = keys[order] >> np.uint64(64 - bits)
+    edges = [*np.flatnonzero(np.append(True, shards[1:] != shards[:-1])).tolist(), len(keys)] if len(keys) else []
+    return order, ((int(shards[i]), slice(i, j)) for i, j in zip(edges, edges[1:], strict=False))
+
+
+def pack_table(table: DataFrame, bits: int) -> DataFrame:
+    """``shard, n, block``: the rows of a table in blocks by shard, its key first and then its columns of doubles (null is 0)."""
+    columns = [c for c in table.columns if c != "key"]
+
+    def flush(held: list) -> pa.RecordBatch:
+        keys, values = np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held], axis=1)
+        order, parts = sharded(keys, bits)
+        keys, values = keys[order], values[:, order]
+        rows = [(s, at.stop - at.start, pack_arrays([keys[at], *values[:, at]])) for s, at in parts]
+        return table_batch(rows)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            values = np.array([batch.column(1 + c).fill_null(0.0).to_numpy() for c in range(len(columns))])
+            held.append((batch.column(0).to_numpy().view(np.uint64), values))
+            size += batch.num_rows
+            if size > SHARD_KEYS:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    return table.select("key", *columns).mapInArrow(emit, "shard int, n int, block binary")
+
+
+def table_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    shards, sizes, blocks = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(sizes, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "n", "block"])
+
+
+def meet(table: DataFrame, blocks: DataFrame, bits: int, dealt: int = 1) -> DataFrame:
+    """``place, shard, kind, block``: the blocks of a table and others of a shard in one partition, the table first.
+
+    The blocks that are no table's are dealt out to ``dealt`` partitions, to each of which the table goes.
+    """
+    first = F.col("shard") * dealt
+    place = F.explode(F.sequence(first, first + (dealt - 1))) if dealt > 1 else F.col("shard")
+    left = table.select(place.alias("place"), "shard", F.lit(TABLE).alias("kind"), "block")
+    place = (first + F.pmod(F.xxhash64("block"), F.lit(dealt))).cast("int") if dealt > 1 else F.col("shard")
+    right = blocks.select(place.alias("place"), "shard", F.lit(BLOCK).alias("kind"), "block")
+    return to_place(left.unionByName(right), dealt << bits).sortWithinPartitions("shard", "kind")
+
+
+def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    """Shard, kind and block of the rows of ``meet``."""
+    for batch in batches:
+        for shard, kind, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            yield shard, kind, block.as_py()
+
+
+def join_blocks(blocks: DataFrame, table: DataFrame, columns: list[str], bits: int, size: int, special: int = 0) -> DataFrame:
     """Per document ``row, row_text``, the sums of count * value for each column of values, ``of_special`` and ``alike``.
 
-    ``blocks``: ``shard int, block binary``; ``table``: ``key long`` and columns of doubles
-    (null is 0); values of repeated keys add up, keys that it lacks count as 0. ``size`` is about
+    ``blocks``: ``shard int, block binary``; ``table``: the blocks of ``pack_table`` with these
+    ``columns``; values of repeated keys add up, keys that it lacks count as 0. ``size`` is about
     the bytes of the texts. ``of_special`` is the count of the key ``special``, and ``alike`` the
     number of rows that have it. A document comes once for each shard: sum up.
     """
-    dealt = salts(table.sparkSession, bits, size)
-    columns = [c for c in table.columns if c != "key"]
     width = len(columns)
-    shard = shard_column(F.col("key"), bits)
-    places = F.explode(F.sequence(shard * dealt, shard * dealt + (dealt - 1))) if dealt > 1 else shard
-    left = table.select(places.alias("place"), shard.alias("shard"), "key", *columns, F.lit(None).cast("binary").alias("block"))
-    place = (F.col("shard") * dealt + F.pmod(F.xxhash64("block"), F.lit(dealt))).cast("int")
-    right = blocks.select(place.alias("place"), "shard", F.lit(None).cast("long").alias("key"), *[F.lit(None).cast("double").alias(c) for c in columns], "block")
-    both = to_place(left.unionByName(right), dealt << bits).sortWithinPartitions("shard", F.col("block").isNotNull())
+    both = meet(table, blocks, bits, salts(table.sparkSession, bits, size))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts = None, []
+        last, parts = None, []
         keys, values = np.zeros(0, np.uint64), np.zeros((width, 0))
-        for batch in batches:
-            shards, payloads = batch.column(1).to_numpy(), batch.column(3 + width)
-            is_block = payloads.is_valid().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((np.diff(shards) != 0) | np.diff(is_block)) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(shards)], strict=True):
-                if i == j:
-                    continue
-                if shards[i] != shard:
-                    shard, parts = shards[i], []
-                    keys, values = np.zeros(0, np.uint64), np.zeros((width, 0))
-                if not is_block[i]:
-                    part = batch.slice(i, j - i)
-                    numbers = [part.column(3 + c).fill_null(0.0).to_numpy() for c in range(width)]
-                    parts.append((part.column(2).to_numpy().view(np.uint64), np.array(numbers)))
-                    continue
-                if parts:
-                    keys, values = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts], axis=1))
-                    parts = []
-                for payload in payloads.slice(i, j - i):
-                    ids, texts, own, spread, docs, counts = _unpack(payload.as_py())
-                    out = []
-                    if len(keys):
-                        at = np.searchsorted(keys, own)
-                        at[at == len(keys)] = 0
-                        found = keys[at] == own
-                        out = [np.bincount(docs, np.repeat(np.where(found, v[at], 0.0), spread) * counts, len(ids)) for v in values]
-                    else:
-                        out = [np.zeros(len(ids)) for _ in columns]
-                    marked = np.repeat(own == np.uint64(special), spread)
-                    out.append(np.bincount(docs[marked], counts[marked], len(ids)).astype(np.int64))
-                    out.append(np.bincount(docs[marked], minlength=len(ids)))
-                    some = np.bincount(docs, minlength=len(ids)) > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, texts, *out)], ["row", "row_text", *columns, "of_special", "alike"])
+        for shard, kind, payload in payloads(batches):
+            if shard != last:
+                last, parts = shard, []
+                keys, values = np.zeros(0, np.uint64), np.zeros((width, 0))
+            if kind == TABLE:
+                parts.append(unpack_arrays(payload, [np.uint64] + [np.float64] * width))
+                continue
+            if parts:
+                keys, values = _summed(np.concatenate([x[0] for x in parts]), np.concatenate([x[1:] for x in parts], axis=1))
+                parts = []
+            ids, texts, own, spread, docs, counts = _unpack(payload)
+            if len(keys):
+                at = np.searchsorted(keys, own)
+                at[at == len(keys)] = 0
+                found = keys[at] == own
+                out = [np.bincount(docs, np.repeat(np.where(found, v[at], 0.0), spread) * counts, len(ids)) for v in values]
+            else:
+                out = [np.zeros(len(ids)) for _ in columns]
+            marked = np.repeat(own == np.uint64(special), spread)
+            out.append(np.bincount(docs[marked], counts[marked], len(ids)).astype(np.int64))
+            out.append(np.bincount(docs[marked], minlength=len(ids)))
+            some = np.bincount(docs, minlength=len(ids)) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, texts, *out)], ["row", "row_text", *columns, "of_special", "alike"])
 
     doubles = "".join(f"{c} double, " for c in columns)
     return both.mapInArrow(emit, f"row long, row_text int, {doubles}of_special long, alike long")
@@ -201,3 +248,42 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     keys, values = keys[order], values[:, order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return (keys, values) if len(first) == len(keys) else (keys[first], np.add.reduceat(values, first, axis=1))
+
+
+def bitmap(tables: DataFrame, bits: int, most: int) -> np.ndarray:
+    """Bits set at the leading bits of the keys of a table's blocks; 2^``most`` bits at most, in slices by shard."""
+    n = tables.agg(F.sum("n")).first()[0] or 0
+    size = min(most, max(bits + 6, (8 * n).bit_length()))
+    width = size - bits  # bits of a slice, as a power
+
+    def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [np.unique(unpack_arrays(b.as_py(), [np.uint64])[0] >> np.uint64(64 - size)) & np.uint64((1 << width) - 1) for b in batch.column(1)]
+            packed = [pack_arrays([np.diff(p.astype(np.uint32), prepend=np.uint32(0))]) for p in places]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["place", "block"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, flags = None, np.zeros(1 << width, bool)
+        for batch in batches:
+            for shard, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if last is not None and shard != last:
+                    yield one(last, flags)
+                    flags[:] = False
+                last = shard
+                flags[np.cumsum(unpack_arrays(block.as_py(), [np.uint32])[0], dtype=np.uint32)] = True
+        if last is not None:
+            yield one(last, flags)
+
+    def one(shard: int, flags: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["shard", "bits"])
+
+    sliced = to_place(tables.select("shard", "block").mapInArrow(keys_only, "place int, block binary"), 1 << bits).sortWithinPartitions("place")
+    out = np.zeros(1 << (size - 3), np.uint8)
+    for row in sliced.mapInArrow(merged, "shard int, bits binary").toLocalIterator():
+        out[row.shard << (width - 3) : (row.shard + 1) << (width - 3)] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys >> np.uint64(64 - (len(bits).bit_length() - 1 + 3))
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0

@@ -18,7 +18,9 @@ sharded by the n-gram's suffix, so that the probability to back off to lies in t
 shard; it goes there as a table. Suffixes with a share of 1/4,096 of all tokens, of which
 there are 4,096 at most, would make a shard hot: their n-grams are spread out instead and
 their probabilities are broadcast. A context's total is its own count one level below.
-Totals and sums by context are joins and aggregates of the n-grams that count.
+The n-grams that count then go, in blocks, to their contexts' shards, where contexts are
+judged; those of hot contexts are spread out again, and what each shard has of their sums
+is added up first.
 
 A token's log probability is the base's plus, for each n-gram that ends there, a value of
 that n-gram: its gain over backing off if its context is retained, and its own back-off
@@ -44,7 +46,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.blocks import counted, join_blocks, named, pack_arrays, pack_blocks, shard_bits, to_place, unpack_arrays
+from folioframe.llm.blocks import (
+    TABLE,
+    bitmap,
+    counted,
+    in_bitmap,
+    join_blocks,
+    meet,
+    named,
+    pack_arrays,
+    pack_blocks,
+    payloads,
+    shard_bits,
+    sharded,
+    unpack_arrays,
+)
 from folioframe.llm.scratch import Scratch, cut
 from folioframe.llm.textblocks import Words, as_long, chunks, mix
 
@@ -218,22 +234,6 @@ def all_keys(symbols: np.ndarray, n: int) -> np.ndarray:
     return gram_keys([np.roll(symbols, j) for j in range(n - 1, -1, -1)])
 
 
-def bitmap(keys: DataFrame, n: int) -> np.ndarray:
-    """Bits set at the leading bits of ``n`` keys; at most 2^21 rows are collected."""
-    size = min(_MOST_BITS, max(16, (8 * n).bit_length()))
-    place = F.shiftrightunsigned(F.col("key"), 64 - size)
-    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    rows = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (size - 6), np.int64)
-    out[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
-def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys >> np.uint64(64 - (len(bits).bit_length() - 1 + 6))
-    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
-
-
 def distinct(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of columns of numbers below ``size``, and how often each comes."""
     width = max(1, (size - 1).bit_length())
@@ -265,7 +265,7 @@ def _gram_blocks(n: int, bits: int, often, hot):
                 symbols, back = sequence(words)
                 at = np.flatnonzero(back >= n - 1)
                 if often is not None:
-                    known = marked(often.value, all_keys(symbols, n - 1))
+                    known = in_bitmap(often.value, all_keys(symbols, n - 1))
                     at = at[known[at] & known[at - 1]]
                 if not len(at):
                     continue
@@ -287,7 +287,13 @@ def _gram_blocks(n: int, bits: int, often, hot):
 
 
 def _pack_grams(columns: list[np.ndarray], counts: np.ndarray, vocabulary: np.ndarray) -> bytes:
-    known, places = np.unique(np.concatenate(columns), return_inverse=True)
+    flat = np.concatenate(columns)
+    if 8 * len(flat) > len(vocabulary):
+        used = np.zeros(len(vocabulary), np.uint32)
+        used[flat] = 1
+        known, places = np.flatnonzero(used), (np.cumsum(used, dtype=np.uint32) - np.uint32(1))[flat]
+    else:
+        known, places = np.unique(flat, return_inverse=True)
     return pack_arrays([vocabulary[known], places.astype(np.uint32), counts.astype(np.uint32)])
 
 
@@ -296,79 +302,177 @@ def _unpack_grams(payload: bytes, n: int) -> tuple[list[np.ndarray], np.ndarray]
     return [known[p] for p in places.reshape(n, -1)], counts.astype(np.int64)
 
 
-_ENTRIES = "context long, gram long, count long, above double"
+_ROWS = "what int, shard int, n int, block binary"
+BELOW, VALUES, ENTRIES, SUMS = range(4)  # what a block of the tables below holds
+_OF_BELOW = [np.uint64, np.int64, np.float64]  # key, count, probability
+_OF_ENTRIES = [np.uint64, np.uint32, np.uint64, np.int64, np.float64]  # runs of contexts, their lengths, n-grams, counts, probabilities to back off to
+_OF_SUMS = [np.uint64, np.float64, np.float64, np.int64, np.int64]  # contexts, and what of gain, mass, count and kinds is in one shard
+
+
+def _row_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    what, shard, n, block = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays(
+        [*[pa.array(x, pa.int32()) for x in (what, shard, n)], pa.array(block, pa.binary())], ["what", "shard", "n", "block"]
+    )
 
 
-def _merge(n: int, hot):
-    """The n-grams that come ``LEAST`` times, and the probabilities they back off to.
+def _table_rows(what: int, bits: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    order, parts = sharded(keys, bits)
+    keys, values = keys[order], [v[order] for v in values]
+    return [(what, s, at.stop - at.start, pack_arrays([keys[at], *[v[at] for v in values]])) for s, at in parts]
 
-    Columns place, shard, key, p, block, sorted: for each shard the table first, then blocks.
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(x)))
+
+
+def _merge(n: int, bits: int, hot):
+    """Out of blocks of n-grams and the table of their suffixes: the n-grams that come ``LEAST`` times, in blocks by context.
+
+    N-grams of hot contexts go to any shard; for these contexts there are sums of what is in each.
     """
 
     def add_up(parts: list) -> list:
         columns, keys, counts = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
         order = np.argsort(keys)
         keys = keys[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        first, _ = _runs(keys)
         return [(columns[:, order[first]], keys[first], np.add.reduceat(counts[order], first))]
 
     def entries(table: list, parts: list) -> pa.RecordBatch:
         columns, keys, counts = add_up(parts)[0]
         some = counts >= LEAST
         columns, keys, counts = [c[some] for c in columns], keys[some], counts[some]
-        suffix = gram_keys(columns[1:])
+        busy, busy_p, _ = hot.value
+        suffix, context = gram_keys(columns[1:]), gram_keys(columns[:-1])
         known, p = (np.concatenate(x) for x in zip(*table, strict=True)) if table else (np.zeros(0, np.uint64), np.zeros(0))
         order = np.argsort(known)
-        known, p = np.append(known[order], np.uint64(0)), np.append(p[order], np.nan)
-        at = lookup(hot.value[0], suffix)
-        above = np.where(at >= 0, np.append(hot.value[1], np.nan)[at], p[np.searchsorted(known[:-1], suffix)])
-        return pa.RecordBatch.from_arrays([as_long(gram_keys(columns[:-1])), as_long(keys), pa.array(counts), pa.array(above)], ["context", "gram", "count", "above"])
+        known, p = known[order], np.append(p[order], np.nan)
+        at = lookup(busy, suffix)
+        above = np.where(at >= 0, np.append(busy_p, np.nan)[at], p[np.searchsorted(known, suffix)])
+        rows = []
+        at = lookup(busy, context)
+        mine = np.flatnonzero(at >= 0)
+        if len(mine):
+            c, a = counts[mine], above[mine]
+            own, number = np.unique(at[mine], return_inverse=True)
+            sums = [np.bincount(number, c * np.log(c / a)), np.bincount(number, a), np.bincount(number, c).astype(np.int64), np.bincount(number)]
+            rows.append((SUMS, 0, len(own), pack_arrays([busy[own], *sums])))
+        order, parts = sharded(np.where(at >= 0, keys, context), bits)
+        context, keys, counts, above = context[order], keys[order], counts[order], above[order]
+        for shard, part in parts:
+            first, length = _runs(context[part])
+            packed = pack_arrays([context[part][first], length.astype(np.uint32), keys[part], counts[part], above[part]])
+            rows.append((ENTRIES, shard, part.stop - part.start, packed))
+        return _row_batch(rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, table, parts, size, limit = None, [], [], 0, _GATHERED
-        for batch in batches:
-            shards, payloads = batch.column(1).to_numpy(), batch.column(4)
-            is_block = payloads.is_valid().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((np.diff(shards) != 0) | np.diff(is_block)) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(shards)], strict=True):
-                if i == j:
-                    continue
-                if shards[i] != last:
-                    if parts:
-                        yield entries(table, parts)
-                    last, table, parts, size, limit = shards[i], [], [], 0, _GATHERED
-                if not is_block[i]:
-                    part = batch.slice(i, j - i)
-                    table.append((part.column(2).to_numpy().view(np.uint64), part.column(3).to_numpy()))
-                    continue
-                for payload in payloads.slice(i, j - i):
-                    columns, counts = _unpack_grams(payload.as_py(), n)
-                    parts.append((np.array(columns), gram_keys(columns), counts))
-                    size += len(counts)
-                    if size > limit:
-                        parts = add_up(parts)
-                        size = len(parts[0][1])
-                        limit = max(_GATHERED, 2 * size)
+        for shard, kind, payload in payloads(batches):
+            if shard != last:
+                if parts:
+                    yield entries(table, parts)
+                last, table, parts, size, limit = shard, [], [], 0, _GATHERED
+            if kind == TABLE:
+                keys, _, p = unpack_arrays(payload, _OF_BELOW)
+                table.append((keys, p))
+                continue
+            columns, counts = _unpack_grams(payload, n)
+            parts.append((np.array(columns), gram_keys(columns), counts))
+            size += len(counts)
+            if size > limit:
+                parts = add_up(parts)
+                size = len(parts[0][1])
+                limit = max(_GATHERED, 2 * size)
         if parts:
             yield entries(table, parts)
 
     return emit
 
 
+def retention(total: np.ndarray, inner: np.ndarray, mass: np.ndarray, known: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts: which are retained, by what counts are divided, and the weight of the distribution that they back off to.
+
+    ``total``: occurrences; of the successors that count, ``inner``: sum of count * ln(count /
+    probability to back off to), ``mass``: of these probabilities, ``known``: of counts, ``often``: how many.
+    """
+    ones = total - known
+    with np.errstate(divide="ignore", invalid="ignore"):
+        new = np.where(ones > 0, ones * np.log(np.maximum(ones, 1) / total / np.maximum(1 - mass, 1e-12)), 0.0)
+    gain = inner - known * np.log(total) + new
+    weight = total + often
+    return gain > 0.5 * (often + (ones > 0)) * np.log(total), weight, (often + ones) / weight
+
+
+def _level(bits: int, hot, last: bool):
+    """Out of blocks of n-grams by context and the table of the contexts' counts: values, and the table for the next level."""
+
+    def rows(table: list, parts: list) -> pa.RecordBatch:
+        context, keys, counts, above = (np.concatenate(x) for x in zip(*parts, strict=True))
+        known, total = (np.concatenate(x) for x in zip(*table, strict=True)) if table else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(known)
+        known, total = known[order], np.append(total[order], 0)
+        order = np.argsort(context, kind="stable")
+        context, keys, counts, above = context[order], keys[order], counts[order], above[order]
+        first, length = _runs(context)
+        own = context[first]
+        busy, busy_weight, busy_backoff = hot.value
+        at = lookup(busy, own)
+        inner = np.add.reduceat(counts * np.log(counts / above), first)
+        sums = np.maximum(total[np.searchsorted(known, own)], 1), inner, np.add.reduceat(above, first), np.add.reduceat(counts, first), length
+        kept, weight, backoff = retention(*sums)
+        kept &= at < 0
+        out = _table_rows(VALUES, bits, own[kept], np.log10(backoff[kept]), *_nothing(int(kept.sum())))
+        kept = np.where(at >= 0, np.append(busy_weight, 0)[at] > 0, kept)
+        weight = np.repeat(np.where(at >= 0, np.append(busy_weight, 0)[at], weight), length)
+        backoff = np.repeat(np.where(at >= 0, np.append(busy_backoff, 0)[at], backoff), length)
+        kept = np.repeat(kept, length)
+        p = above.copy()
+        p[kept] = counts[kept] / weight[kept] + backoff[kept] * above[kept]
+        value = np.log10(p[kept] / above[kept] / backoff[kept])
+        out += _table_rows(VALUES, bits, keys[kept], value, *_nothing(len(value)))
+        if not last:
+            out += _table_rows(BELOW, bits, keys, counts, p)
+        return _row_batch(out)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard_now, table, parts = None, [], []
+        for shard, kind, payload in payloads(batches):
+            if shard != shard_now:
+                if parts:
+                    yield rows(table, parts)
+                shard_now, table, parts = shard, [], []
+            if kind == TABLE:
+                keys, count, _ = unpack_arrays(payload, _OF_BELOW)
+                table.append((keys, count))
+            else:
+                own, length, keys, counts, above = unpack_arrays(payload, _OF_ENTRIES)
+                parts.append((np.repeat(own, length), keys, counts, above))
+        if parts:
+            yield rows(table, parts)
+
+    return emit
+
+
+def _nothing(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(n), np.zeros(n)
+
+
 def _tree_blocks(shared, depth: int, bits: int):
     """Columns row, row_text, text: blocks of each chunk's n-grams that the table may have a value for, and of numbers of tokens."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for words in chunks(batch.column(2), 2 << 20, lower=True):
+            for words in chunks(batch.column(2), lower=True):
                 symbols, back = sequence(words)
                 sizes = np.diff(words.offsets) + 1
                 doc = np.repeat(np.arange(words.hi - words.lo), sizes)
                 found: list[tuple[np.ndarray, np.ndarray]] = [(np.full(len(doc), END), doc)]
                 for n in range(1, depth + 2):
                     keys = all_keys(symbols, n)
-                    wanted = marked(shared.value, keys) & (back >= n - 1) & (keys != END)
+                    wanted = in_bitmap(shared.value, keys) & (back >= n - 1) & (keys != END)
                     found.append((keys[wanted], doc[wanted]))
                 keys, docs = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pack_blocks((ids[words.lo : words.hi], texts[words.lo : words.hi]), *counted(keys, docs), bits)
@@ -376,46 +480,66 @@ def _tree_blocks(shared, depth: int, bits: int):
     return emit
 
 
-def grow_tree(train: DataFrame, counts: DataFrame, tokens: int, scale: float, ends: int, depth: int, scratch: Scratch) -> DataFrame:
-    """``key, value``: what each n-gram adds to the base's log10 probabilities. ``counts``: ``key, count`` of words."""
+def _word_rows(bits: int, scale: float):
+    """Out of counts of words: the table for the first level, and what the base model has for them."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, count = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            often = count >= LEAST
+            rows = _table_rows(BELOW, bits, keys[often], count[often], (count[often] + 1) / scale)
+            yield _row_batch(rows + _table_rows(VALUES, bits, keys, np.zeros(len(keys)), np.log10(count + 1), np.ones(len(keys))))
+
+    return emit
+
+
+def _busy(least: float):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0):
+                keys, count, p = unpack_arrays(block.as_py(), _OF_BELOW)
+                many = count >= least
+                yield pa.RecordBatch.from_arrays([as_long(keys[many]), pa.array(count[many]), pa.array(p[many])], ["key", "count", "p"])
+
+    return emit
+
+
+def grow_tree(train: DataFrame, words: DataFrame, tokens: int, end: float, bits: int, depth: int, scratch: Scratch) -> list[DataFrame]:
+    """Blocks of what each n-gram adds to the base's log10 probabilities. ``words``: the rows of ``_word_rows``."""
     spark = train.sparkSession
-    bits = max(shard_bits(tokens >> 1), (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    below = counts.where(F.col("count") >= LEAST).select("key", "count", ((F.col("count") + 1) / F.lit(float(scale))).alias("p"))
-    often, values = None, []
+    rows, often, values = words, None, []
     for length in range(1, depth + 1):
-        busy = below.where(F.col("count") * HOT >= tokens).select("key", "p").toArrow()  # HOT rows at most
-        hot_keys, hot_p = busy["key"].to_numpy().view(np.uint64), busy["p"].to_numpy()
+        below = rows.where(F.col("what") == BELOW).select("shard", "n", "block")
+        busy = below.select("block").mapInArrow(_busy(tokens / HOT), "key long, count long, p double").toPandas()  # HOT rows at most
+        keys, count, p = busy["key"].to_numpy(np.int64).view(np.uint64), busy["count"].to_numpy(np.int64), busy["p"].to_numpy(np.float64)
         if length == 1:
-            hot_keys, hot_p = np.append(hot_keys, END), np.append(hot_p, (ends + 1) / scale)
-        order = np.argsort(hot_keys)
-        hot = spark.sparkContext.broadcast((hot_keys[order], hot_p[order]))
+            keys, count, p = np.append(keys, END), np.append(count, 0), np.append(p, end)
+        order = np.argsort(keys)
+        keys, count, p = keys[order], count[order], p[order]
+        hot = spark.sparkContext.broadcast((keys, p, count))
         blocks = train.mapInArrow(_gram_blocks(length + 1, bits, often, hot), "shard int, block binary")
-        shard = F.shiftrightunsigned("key", 64 - bits).cast("int")
-        table = below.select(shard.alias("place"), shard.alias("shard"), "key", "p", F.lit(None).cast("binary").alias("block"))
-        blocks = blocks.select(F.col("shard").alias("place"), "shard", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("p"), "block")
-        both = to_place(table.unionByName(blocks), 1 << bits).sortWithinPartitions("shard", F.col("block").isNotNull())
-        entries = scratch.put_clean(both.mapInArrow(_merge(length + 1, hot), _ENTRIES), f"entries{length}")
-        parts = F.sum(F.col("count") * F.ln(F.col("count") / F.col("above"))).alias("inner"), F.sum("above").alias("mass"), F.sum("count").alias("known"), F.count("*").alias("often")
-        contexts = entries.groupBy("context").agg(*parts).join(below.select(F.col("key").alias("context"), F.col("count").alias("total")), "context")
-        ones = F.col("total") - F.col("known")
-        new = F.when(ones > 0, ones * F.ln(ones / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
-        gain = F.col("inner") - F.col("known") * F.ln("total") + new
-        outcomes = F.col("often") + (ones > 0).cast("int")
-        weight = F.col("total") + F.col("often")
-        retained = contexts.where(gain > 0.5 * outcomes * F.ln("total")).select("context", weight.alias("weight"), ((F.col("often") + ones) / weight).alias("backoff"))
-        retained = scratch.put_clean(retained, f"retained{length}")
-        p = F.coalesce(F.col("count") / F.col("weight") + F.col("backoff") * F.col("above"), "above")
-        value = F.coalesce(F.log10(p / F.col("above") / F.col("backoff")), F.lit(0.0))
-        below = entries.join(retained, "context", "left").select(F.col("gram").alias("key"), "count", p.alias("p"), value.alias("value"))
-        below = scratch.put_clean(below, f"level{length}")
+        merged = scratch.put_clean(meet(below, blocks, bits).mapInArrow(_merge(length + 1, bits, hot), _ROWS), f"entries{length}")
+
+        sums = [np.zeros(len(keys), kind) for kind in _OF_SUMS[1:]]
+        for row in merged.where(F.col("what") == SUMS).select("block").toLocalIterator():  # HOT contexts at most, of each shard
+            own, *found = unpack_arrays(row.block, _OF_SUMS)
+            for total, part in zip(sums, found, strict=True):
+                np.add.at(total, lookup(keys, own), part)
+        some = (sums[-1] > 0) & (count > 0)
+        kept, weight, backoff = retention(np.maximum(count, 1), *sums)
+        kept &= some
+        settled = spark.sparkContext.broadcast((keys, np.where(kept, weight, 0), backoff))
+        own = _table_rows(VALUES, bits, keys[kept], np.log10(backoff[kept]), *_nothing(int(kept.sum())))
+
+        entries = merged.where(F.col("what") == ENTRIES).select("shard", "block")
+        rows = scratch.put_clean(meet(below, entries, bits).mapInArrow(_level(bits, settled, length == depth), _ROWS), f"level{length}")
         scratch.drop(f"entries{length}")
+        values.append(rows)
+        if own:
+            values.append(spark.createDataFrame([(w, s, n, bytearray(b)) for w, s, n, b in own], _ROWS))
         if length < depth:
-            often = spark.sparkContext.broadcast(bitmap(below, below.count()))
-        values += [below.where("value <> 0").select("key", "value"), retained.select(F.col("context").alias("key"), F.log10("backoff").alias("value"))]
-    table = values[0]
-    for more in values[1:]:
-        table = table.unionByName(more)
-    return table
+            often = spark.sparkContext.broadcast(bitmap(rows.where(F.col("what") == BELOW), bits, _MOST_BITS))
+    return [x.where(F.col("what") == VALUES).select("shard", "n", "block") for x in values]
 
 
 def score_texts(
@@ -444,16 +568,18 @@ def score_texts(
         words, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
         total = tokens + ends
         scale = total + words + (ends > 0) + 1
-        tree = grow_tree(train, counts, total, scale, ends, depth, scratch)
-        none = F.lit(None).cast("double")
-        table = tree.select("key", "value", none.alias("base"), none.alias("known"))
-        table = table.unionByName(counts.select("key", none.alias("value"), F.log10(F.col("count") + 1).alias("base"), F.lit(1.0).alias("known")))
-        keys = table.count()
-        shared = spark.sparkContext.broadcast(bitmap(table, keys))
-        bits = shard_bits(keys)
-        blocks = texts.select("row", "row_text", "text").mapInArrow(_tree_blocks(shared, depth, bits), "shard int, block binary")
-        sums = join_blocks(blocks, table, bits, 8 * total, int(END)).groupBy("row", "row_text")
-        sums = sums.agg(*[F.sum(c).alias(c) for c in ("value", "base", "known", "of_special", "alike")])
+        bits = min(20, max(shard_bits(total >> 1), (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+        known = scratch.put_clean(counts.mapInArrow(_word_rows(bits, float(scale)), _ROWS), "words")
+        table = known.where(F.col("what") == VALUES).select("shard", "n", "block")
+        for level in grow_tree(train, known, total, (ends + 1) / scale, bits, depth, scratch):
+            table = table.unionByName(level)
+        shared = spark.sparkContext.broadcast(bitmap(table, bits, _MOST_BITS))
+        fewer = min(bits, shard_bits(table.agg(F.sum("n")).first()[0] or 0))
+        blocks = texts.select("row", "row_text", "text").mapInArrow(_tree_blocks(shared, depth, fewer), "shard int, block binary")
+        table = table.withColumn("shard", F.shiftright("shard", bits - fewer))
+        columns = ["value", "base", "known"]
+        sums = join_blocks(blocks, table, columns, fewer, 8 * total, int(END)).groupBy("row", "row_text")
+        sums = sums.agg(*[F.sum(c).alias(c) for c in (*columns, "of_special", "alike")])
         each = [(F.col(c) / F.col("alike")).alias(c) for c in ("value", "base", "known", "of_special")]
         sums = scratch.put_clean(sums.select("row", "row_text", *each), "sums")
         base_score = F.col("base") + float(np.log10(ends + 1)) + F.col("of_special") * F.lit(float(np.log10(1 / scale)))
