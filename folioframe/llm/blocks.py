@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm.filters import text_mark
+from folioframe.llm.scratch import cleaning
 
 SHARD_KEYS = 1 << 20  # keys of the table in a shard, about
 TASK_BYTES = 16 << 20  # of text whose blocks go to one task, about
@@ -279,7 +280,9 @@ def bitmap(tables: DataFrame, bits: int, most: int) -> np.ndarray:
 
     sliced = to_place(tables.select("shard", "block").mapInArrow(keys_only, "place int, block binary"), 1 << bits).sortWithinPartitions("place")
     out = np.zeros(1 << (size - 3), np.uint8)
-    for row in sliced.mapInArrow(merged, "shard int, bits binary").toLocalIterator():
+    with cleaning(tables.sparkSession):
+        slices = sliced.mapInArrow(merged, "shard int, bits binary").collect()  # as large as the bitmap
+    for row in slices:
         out[row.shard << (width - 3) : (row.shard + 1) << (width - 3)] = np.frombuffer(row.bits, np.uint8)
     return out
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,18 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs in the ``with`` block go as soon as it has run."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Parquet tables that live as long as the ``with`` block."""
 
@@ -50,23 +64,20 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` written and read again; in a folder for each value of the column ``by``, if there is one."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def put_clean(self, df: DataFrame, name: str) -> DataFrame:
+    def put_clean(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Like ``put``; the shuffle files that the writing took go at once, not when the driver collects its garbage."""
-        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, "true")
-        try:
-            return self.put(df, name)
-        finally:
-            self.spark.conf.set(key, before)
-
-    def drop(self, name: str) -> None:
-        remove(self.spark, f"{self.root}/{name}")
+        with cleaning(self.spark):
+            return self.put(df, name, by)
+
+    def drop(self, *names: str) -> None:
+        remove(self.spark, "/".join((self.root, *names)))
 
     def __exit__(self, *exc: object) -> None:
         remove(self.spark, self.root)

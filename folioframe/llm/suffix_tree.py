@@ -40,6 +40,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,7 @@ LEAST = 2  # occurrences of a context, and of a successor that has a probability
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
 _BASE = np.uint64(0xD1342543DE82EF95)
 HOT = 4096  # a suffix with this part of all tokens has its n-grams spread over all shards
+TURNS = 2  # in which documents are scored, so that the files of one go before the next
 _GATHERED = 4_000_000  # n-grams held before equal ones are added up
 _MOST_BITS = 27  # of a bitmap's size
 _BITS = np.uint64(16)  # of a symbol in a packed context
@@ -306,7 +308,7 @@ _ROWS = "what int, shard int, n int, block binary"
 BELOW, VALUES, ENTRIES, SUMS = range(4)  # what a block of the tables below holds
 _OF_BELOW = [np.uint64, np.int64, np.float64]  # key, count, probability
 _OF_ENTRIES = [np.uint64, np.uint32, np.uint64, np.int64, np.float64]  # runs of contexts, their lengths, n-grams, counts, probabilities to back off to
-_OF_SUMS = [np.uint64, np.float64, np.float64, np.int64, np.int64]  # contexts, and what of gain, mass, count and kinds is in one shard
+_OF_SUMS = [np.int64, np.float64, np.float64, np.int64, np.int64]  # hot contexts by number, and what of gain, mass, count and kinds is in one shard
 
 
 def _row_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -358,7 +360,7 @@ def _merge(n: int, bits: int, hot):
             c, a = counts[mine], above[mine]
             own, number = np.unique(at[mine], return_inverse=True)
             sums = [np.bincount(number, c * np.log(c / a)), np.bincount(number, a), np.bincount(number, c).astype(np.int64), np.bincount(number)]
-            rows.append((SUMS, 0, len(own), pack_arrays([busy[own], *sums])))
+            rows.append((SUMS, 0, len(own), pack_arrays([own, *sums])))
         order, parts = sharded(np.where(at >= 0, keys, context), bits)
         context, keys, counts, above = context[order], keys[order], counts[order], above[order]
         for shard, part in parts:
@@ -465,10 +467,10 @@ def _tree_blocks(shared, depth: int, bits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for words in chunks(batch.column(2), lower=True):
+            for words in chunks(batch.column(2), 3 << 20, lower=True):
                 symbols, back = sequence(words)
                 sizes = np.diff(words.offsets) + 1
-                doc = np.repeat(np.arange(words.hi - words.lo), sizes)
+                doc = np.repeat(np.arange(words.hi - words.lo, dtype=np.uint16), sizes)
                 found: list[tuple[np.ndarray, np.ndarray]] = [(np.full(len(doc), END), doc)]
                 for n in range(1, depth + 2):
                     keys = all_keys(symbols, n)
@@ -504,6 +506,15 @@ def _busy(least: float):
     return emit
 
 
+_SUMS = "number long, inner double, mass double, known long, often long"
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack_arrays(block.as_py(), _OF_SUMS)], ["number", "inner", "mass", "known", "often"])
+
+
 def grow_tree(train: DataFrame, words: DataFrame, tokens: int, end: float, bits: int, depth: int, scratch: Scratch) -> list[DataFrame]:
     """Blocks of what each n-gram adds to the base's log10 probabilities. ``words``: the rows of ``_word_rows``."""
     spark = train.sparkSession
@@ -520,11 +531,11 @@ def grow_tree(train: DataFrame, words: DataFrame, tokens: int, end: float, bits:
         blocks = train.mapInArrow(_gram_blocks(length + 1, bits, often, hot), "shard int, block binary")
         merged = scratch.put_clean(meet(below, blocks, bits).mapInArrow(_merge(length + 1, bits, hot), _ROWS), f"entries{length}")
 
-        sums = [np.zeros(len(keys), kind) for kind in _OF_SUMS[1:]]
-        for row in merged.where(F.col("what") == SUMS).select("block").toLocalIterator():  # HOT contexts at most, of each shard
-            own, *found = unpack_arrays(row.block, _OF_SUMS)
-            for total, part in zip(sums, found, strict=True):
-                np.add.at(total, lookup(keys, own), part)
+        parts = merged.where(F.col("what") == SUMS).select("block").mapInArrow(_sums, _SUMS).groupBy("number")
+        found = parts.agg(*[F.sum(c).alias(c) for c in ("inner", "mass", "known", "often")]).toPandas()  # HOT rows at most
+        sums = [np.zeros(len(keys)) for _ in range(4)]
+        for total, column in zip(sums, ("inner", "mass", "known", "often"), strict=True):
+            total[found["number"].to_numpy(np.int64)] = found[column].to_numpy(np.float64)
         some = (sums[-1] > 0) & (count > 0)
         kept, weight, backoff = retention(np.maximum(count, 1), *sums)
         kept &= some
@@ -532,8 +543,9 @@ def grow_tree(train: DataFrame, words: DataFrame, tokens: int, end: float, bits:
         own = _table_rows(VALUES, bits, keys[kept], np.log10(backoff[kept]), *_nothing(int(kept.sum())))
 
         entries = merged.where(F.col("what") == ENTRIES).select("shard", "block")
-        rows = scratch.put_clean(meet(below, entries, bits).mapInArrow(_level(bits, settled, length == depth), _ROWS), f"level{length}")
+        rows = scratch.put_clean(meet(below, entries, bits).mapInArrow(_level(bits, settled, length == depth), _ROWS), f"level{length}", "what")
         scratch.drop(f"entries{length}")
+        scratch.drop("words" if length == 1 else f"level{length - 1}", f"what={BELOW}")
         values.append(rows)
         if own:
             values.append(spark.createDataFrame([(w, s, n, bytearray(b)) for w, s, n, b in own], _ROWS))
@@ -569,19 +581,23 @@ def score_texts(
         total = tokens + ends
         scale = total + words + (ends > 0) + 1
         bits = min(20, max(shard_bits(total >> 1), (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
-        known = scratch.put_clean(counts.mapInArrow(_word_rows(bits, float(scale)), _ROWS), "words")
+        known = scratch.put_clean(counts.mapInArrow(_word_rows(bits, float(scale)), _ROWS), "words", "what")
+        scratch.drop("counts")
         table = known.where(F.col("what") == VALUES).select("shard", "n", "block")
         for level in grow_tree(train, known, total, (ends + 1) / scale, bits, depth, scratch):
             table = table.unionByName(level)
         shared = spark.sparkContext.broadcast(bitmap(table, bits, _MOST_BITS))
         fewer = min(bits, shard_bits(table.agg(F.sum("n")).first()[0] or 0))
-        blocks = texts.select("row", "row_text", "text").mapInArrow(_tree_blocks(shared, depth, fewer), "shard int, block binary")
         table = table.withColumn("shard", F.shiftright("shard", bits - fewer))
-        columns = ["value", "base", "known"]
-        sums = join_blocks(blocks, table, columns, fewer, 8 * total, int(END)).groupBy("row", "row_text")
-        sums = sums.agg(*[F.sum(c).alias(c) for c in (*columns, "of_special", "alike")])
+        columns, turns = ["value", "base", "known"], []
+        for turn in range(TURNS):
+            some = texts.where(F.pmod("row_text", F.lit(TURNS)) == turn).select("row", "row_text", "text")
+            blocks = some.mapInArrow(_tree_blocks(shared, depth, fewer), "shard int, block binary")
+            sums = join_blocks(blocks, table, columns, fewer, 8 * total // TURNS, int(END)).groupBy("row", "row_text")
+            turns.append(scratch.put_clean(sums.agg(*[F.sum(c).alias(c) for c in (*columns, "of_special", "alike")]), f"sums{turn}"))
+        sums = reduce(DataFrame.unionByName, turns)
         each = [(F.col(c) / F.col("alike")).alias(c) for c in ("value", "base", "known", "of_special")]
-        sums = scratch.put_clean(sums.select("row", "row_text", *each), "sums")
+        sums = sums.select("row", "row_text", *each)
         base_score = F.col("base") + float(np.log10(ends + 1)) + F.col("of_special") * F.lit(float(np.log10(1 / scale)))
         result = texts.drop("text").join(sums, ["row", "row_text"]).select(
             "doc_id",
