@@ -45,8 +45,9 @@ def shard_column(key, bits: int):
 
 
 def salts(spark: SparkSession, bits: int, size: int) -> int:
-    """Tasks for a shard: in all as many as ``size`` bytes of text call for, and no fewer than the shuffle partitions."""
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    """Tasks for a shard of a table that is small beside ``size`` bytes of text: in all as many as these call for, and no
+    fewer than the shuffle partitions. Where ``size`` is 0, the table is large: one, and more tasks come with more shards."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES) if size else 1
     return max(1, min(tasks, MOST_PARTITIONS) >> bits)
 
 
@@ -124,8 +125,11 @@ def pack_blocks(rows: tuple[np.ndarray, np.ndarray], keys: np.ndarray, docs: np.
         for shard in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             i, j = edges[shard], edges[shard + 1]
             a, b = ends[i], ends[j]
+            there = np.zeros(len(rows[0]), bool)
+            there[docs[a:b]] = True
+            number = np.cumsum(there) - 1
             shards.append(shard)
-            blocks.append(_pack(rows, distinct[i:j], spread[i:j], docs[a:b], counts[a:b]))
+            blocks.append(_pack((rows[0][there], rows[1][there]), distinct[i:j], spread[i:j], number[docs[a:b]], counts[a:b]))
     return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
 
 
@@ -202,7 +206,8 @@ def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, byte
 
 
 def join_blocks(blocks: DataFrame, table: DataFrame, columns: list[str], bits: int, size: int, special: int = 0) -> DataFrame:
-    """Per document ``row, row_text``, the sums of count * value for each column of values, ``of_special`` and ``alike``.
+    """Per document ``row, row_text``, the sums of count * value for each column of values, and of counts where the last
+    one is not 0 (its name with ``_found``), ``of_special`` and ``alike``.
 
     ``blocks``: ``shard int, block binary``; ``table``: the blocks of ``pack_table`` with these
     ``columns``; values of repeated keys add up, keys that it lacks count as 0. ``size`` is about
@@ -226,21 +231,21 @@ def join_blocks(blocks: DataFrame, table: DataFrame, columns: list[str], bits: i
                 keys, values = _summed(np.concatenate([x[0] for x in parts]), np.concatenate([x[1:] for x in parts], axis=1))
                 parts = []
             ids, texts, own, spread, docs, counts = _unpack(payload)
+            value = np.zeros((width, len(own)))
             if len(keys):
                 at = np.searchsorted(keys, own)
                 at[at == len(keys)] = 0
                 found = keys[at] == own
-                out = [np.bincount(docs, np.repeat(np.where(found, v[at], 0.0), spread) * counts, len(ids)) for v in values]
-            else:
-                out = [np.zeros(len(ids)) for _ in columns]
+                value[:, found] = values[:, at[found]]
+            out = [np.bincount(docs, np.repeat(v, spread) * counts, len(ids)) for v in value]
+            out.append(np.bincount(docs, np.repeat(value[-1] != 0, spread) * counts, len(ids)).astype(np.int64))
             marked = np.repeat(own == np.uint64(special), spread)
             out.append(np.bincount(docs[marked], counts[marked], len(ids)).astype(np.int64))
             out.append(np.bincount(docs[marked], minlength=len(ids)))
-            some = np.bincount(docs, minlength=len(ids)) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, texts, *out)], ["row", "row_text", *columns, "of_special", "alike"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, texts, *out)], ["row", "row_text", *columns, f"{columns[-1]}_found", "of_special", "alike"])
 
     doubles = "".join(f"{c} double, " for c in columns)
-    return both.mapInArrow(emit, f"row long, row_text int, {doubles}of_special long, alike long")
+    return both.mapInArrow(emit, f"row long, row_text int, {doubles}{columns[-1]}_found long, of_special long, alike long")
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -425,7 +425,7 @@ def _level(bits: int, hot, last: bool):
         sums = np.maximum(total[np.searchsorted(known, own)], 1), inner, np.add.reduceat(above, first), np.add.reduceat(counts, first), length
         kept, weight, backoff = retention(*sums)
         kept &= at < 0
-        out = _table_rows(VALUES, bits, own[kept], np.log10(backoff[kept]), *_nothing(int(kept.sum())))
+        out = _table_rows(VALUES, bits, own[kept], np.log10(backoff[kept]), np.zeros(int(kept.sum())))
         kept = np.where(at >= 0, np.append(busy_weight, 0)[at] > 0, kept)
         weight = np.repeat(np.where(at >= 0, np.append(busy_weight, 0)[at], weight), length)
         backoff = np.repeat(np.where(at >= 0, np.append(busy_backoff, 0)[at], backoff), length)
@@ -433,7 +433,7 @@ def _level(bits: int, hot, last: bool):
         p = above.copy()
         p[kept] = counts[kept] / weight[kept] + backoff[kept] * above[kept]
         value = np.log10(p[kept] / above[kept] / backoff[kept])
-        out += _table_rows(VALUES, bits, keys[kept], value, *_nothing(len(value)))
+        out += _table_rows(VALUES, bits, keys[kept], value, np.zeros(len(value)))
         if not last:
             out += _table_rows(BELOW, bits, keys, counts, p)
         return _row_batch(out)
@@ -457,10 +457,6 @@ def _level(bits: int, hot, last: bool):
     return emit
 
 
-def _nothing(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.zeros(n), np.zeros(n)
-
-
 def _tree_blocks(shared, depth: int, bits: int):
     """Columns row, row_text, text: blocks of each chunk's n-grams that the table may have a value for, and of numbers of tokens."""
 
@@ -490,7 +486,7 @@ def _word_rows(bits: int, scale: float):
             keys, count = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             often = count >= LEAST
             rows = _table_rows(BELOW, bits, keys[often], count[often], (count[often] + 1) / scale)
-            yield _row_batch(rows + _table_rows(VALUES, bits, keys, np.zeros(len(keys)), np.log10(count + 1), np.ones(len(keys))))
+            yield _row_batch(rows + _table_rows(VALUES, bits, keys, np.zeros(len(keys)), np.log10(count + 1)))
 
     return emit
 
@@ -540,7 +536,7 @@ def grow_tree(train: DataFrame, words: DataFrame, tokens: int, end: float, bits:
         kept, weight, backoff = retention(np.maximum(count, 1), *sums)
         kept &= some
         settled = spark.sparkContext.broadcast((keys, np.where(kept, weight, 0), backoff))
-        own = _table_rows(VALUES, bits, keys[kept], np.log10(backoff[kept]), *_nothing(int(kept.sum())))
+        own = _table_rows(VALUES, bits, keys[kept], np.log10(backoff[kept]), np.zeros(int(kept.sum())))
 
         entries = merged.where(F.col("what") == ENTRIES).select("shard", "block")
         rows = scratch.put_clean(meet(below, entries, bits).mapInArrow(_level(bits, settled, length == depth), _ROWS), f"level{length}", "what")
@@ -580,30 +576,30 @@ def score_texts(
         words, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
         total = tokens + ends
         scale = total + words + (ends > 0) + 1
-        bits = min(20, max(shard_bits(total >> 1), (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+        bits = min(20, shard_bits(total >> 1))
         known = scratch.put_clean(counts.mapInArrow(_word_rows(bits, float(scale)), _ROWS), "words", "what")
         scratch.drop("counts")
         table = known.where(F.col("what") == VALUES).select("shard", "n", "block")
         for level in grow_tree(train, known, total, (ends + 1) / scale, bits, depth, scratch):
             table = table.unionByName(level)
         shared = spark.sparkContext.broadcast(bitmap(table, bits, _MOST_BITS))
-        fewer = min(bits, shard_bits(table.agg(F.sum("n")).first()[0] or 0))
+        fewer = min(bits, shard_bits((table.agg(F.sum("n")).first()[0] or 0) >> 1))
         table = table.withColumn("shard", F.shiftright("shard", bits - fewer))
-        columns, turns = ["value", "base", "known"], []
+        columns, turns = ["value", "base"], []
         for turn in range(TURNS):
             some = texts.where(F.pmod("row_text", F.lit(TURNS)) == turn).select("row", "row_text", "text")
             blocks = some.mapInArrow(_tree_blocks(shared, depth, fewer), "shard int, block binary")
-            sums = join_blocks(blocks, table, columns, fewer, 8 * total // TURNS, int(END)).groupBy("row", "row_text")
-            turns.append(scratch.put_clean(sums.agg(*[F.sum(c).alias(c) for c in (*columns, "of_special", "alike")]), f"sums{turn}"))
+            sums = join_blocks(blocks, table, columns, fewer, 0, int(END)).groupBy("row", "row_text")
+            turns.append(scratch.put_clean(sums.agg(*[F.sum(c).alias(c) for c in (*columns, "base_found", "of_special", "alike")]), f"sums{turn}"))
         sums = reduce(DataFrame.unionByName, turns)
-        each = [(F.col(c) / F.col("alike")).alias(c) for c in ("value", "base", "known", "of_special")]
+        each = [(F.col(c) / F.col("alike")).alias(c) for c in ("value", "base", "base_found", "of_special")]
         sums = sums.select("row", "row_text", *each)
         base_score = F.col("base") + float(np.log10(ends + 1)) + F.col("of_special") * F.lit(float(np.log10(1 / scale)))
         result = texts.drop("text").join(sums, ["row", "row_text"]).select(
             "doc_id",
             F.coalesce("held_out", F.lit(False)).alias("held_out"),
             F.col("of_special").cast("long").alias("n_tokens"),
-            (F.round("known") + int(ends > 0)).cast("long").alias("n_known"),
+            (F.col("base_found") + int(ends > 0)).cast("long").alias("n_known"),
             F.lit(int(total)).cast("long").alias("train_tokens"),
             base_score.alias("base_score"),
             (base_score + F.col("value")).alias("score"),
