@@ -13,10 +13,14 @@ windows merge into maximal repeats, which are removed from all later documents.
 
 Sums of work are linear in the words: groups are reduced by ``min``, never paired up.
 
+Texts are not shuffled but for those that may hold a repeat, as a bitmap of fixed size shows.
+
 Defined results: a null or empty text has no words; a text shorter than ``window`` words
-loses none; repeats within one document are kept; ties of the id (the same document
-twice) remove nothing from each other; an empty table gives an empty result. Only the
-id and text columns are read.
+loses none; repeats within one document are kept; rows of one id, whether their texts are
+equal or not, remove nothing from each other, and each is judged by its own text (they are
+told apart by 32 bits of a hash of it); a row with a null id neither loses nor removes
+anything; texts of any length are read whole; an empty table gives an empty result. Only
+the id and text columns are read; others may have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.filters import without
+from folioframe.llm.filters import fresh, marked_by, text_mark, with_names
 from folioframe.llm.scratch import Scratch, cut
 from folioframe.llm.textblocks import Words, as_long, chunks, mix, prefix_sums, sequence_hashes
 
@@ -87,14 +91,14 @@ def span_hashes(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray
     return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 
 
-_RUNS = "doc_id long, anchor long, span long, first int, length int"
+_RUNS = "doc_id long, mark int, anchor long, span long, first int, length int"
 
 
 def _runs(window: int, k: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for words in chunks(batch.column(1)):
+            ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            for words in chunks(batch.column(2)):
                 first, length, offset, anchor = anchored_runs(words, window, k)
                 if not len(first):
                     continue
@@ -103,33 +107,34 @@ def _runs(window: int, k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[words.lo + doc], pa.int64()),
+                        pa.array(marks[words.lo + doc]),
                         as_long(anchor),
                         as_long(span),
                         pa.array((first - words.offsets[doc]).astype(np.int32)),
                         pa.array(length.astype(np.int32)),
                     ],
-                    ["doc_id", "anchor", "span", "first", "length"],
+                    ["doc_id", "mark", "anchor", "span", "first", "length"],
                 )
 
     return emit
 
 
-_WINDOWS = "anchor long, hash long, doc_id long, start int"
+_WINDOWS = "anchor long, hash long, doc_id long, mark int, start int"
 
 
 def _windows(window: int):
-    """Hashes of the windows of contested runs; columns: doc_id, text, runs."""
+    """Hashes of the windows of contested runs; columns: doc_id, mark, text, runs."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            runs = batch.column(2)
+            ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            runs = batch.column(3)
             bounds = runs.offsets.to_numpy().astype(np.int64)
             flat = runs.values
             first = flat.field("first").to_numpy(zero_copy_only=False).astype(np.int64)
             length = flat.field("length").to_numpy(zero_copy_only=False).astype(np.int64)
             anchor = flat.field("anchor").to_numpy(zero_copy_only=False)
-            for words in chunks(batch.column(1)):
+            for words in chunks(batch.column(2)):
                 lo, hi = bounds[words.lo], bounds[words.hi]
                 size = np.diff(bounds[words.lo : words.hi + 1])
                 doc = np.repeat(np.arange(words.hi - words.lo), size)
@@ -142,9 +147,10 @@ def _windows(window: int):
                         pa.array(anchor[lo:hi][run], pa.int64()),
                         as_long(span_hashes(words, at, at + window)),
                         pa.array(ids[words.lo + doc[run]], pa.int64()),
+                        pa.array(marks[words.lo + doc[run]]),
                         pa.array(start.astype(np.int32)),
                     ],
-                    ["anchor", "hash", "doc_id", "start"],
+                    ["anchor", "hash", "doc_id", "mark", "start"],
                 )
 
     return emit
@@ -160,28 +166,41 @@ def removed_words(n_words: int, spans: list[dict]) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = KGRAM) -> DataFrame:
-    """``doc_id, first, last``: word ranges whose windows all start in a smaller document too."""
+    """``doc_id, mark, first, last``: word ranges whose windows all start in a smaller document too."""
     if not 0 < k <= window:
         raise ValueError("k must be between 1 and window")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).alias("text")).where("doc_id is not null")
     with Scratch(docs.sparkSession) as scratch:
         runs = scratch.put(texts.mapInArrow(_runs(window, k), _RUNS), "runs")
         spans = runs.groupBy("anchor", "span").agg(F.min("doc_id").alias("owner"), F.count("*").alias("runs"))
         anchors = spans.groupBy("anchor").agg(F.count("*").alias("spans"), F.sum("runs").alias("all_runs"))
         shared = anchors.where("all_runs > 1").select("anchor", "spans")
-        groups = scratch.put(spans.join(shared, "anchor").where("runs > 1 or spans > 1"), "groups")
-        found = scratch.put(runs.join(groups, ["anchor", "span"]), "found")
-        whole = found.where("doc_id > owner").select("doc_id", "first", (F.col("first") + F.col("length") + (window - 1)).alias("last"))
-        contested = found.where("doc_id = owner and spans > 1").groupBy("doc_id")
-        contested = contested.agg(F.collect_list(F.struct("first", "length", "anchor")).alias("runs"))
-        windows = texts.join(contested, "doc_id").select("doc_id", "text", "runs").mapInArrow(_windows(window), _WINDOWS)
-        windows = scratch.put(windows, "windows")
+        groups = scratch.put_clean(spans.join(shared, "anchor").where("runs > 1 or spans > 1"), "groups")
+        found = scratch.put_clean(runs.join(groups, ["anchor", "span"]), "found")
+        scratch.drop("runs")
+        whole = found.where("doc_id > owner").select("doc_id", "mark", "first", (F.col("first") + F.col("length") + (window - 1)).alias("last"))
+        contested = found.where("doc_id = owner and spans > 1").groupBy("doc_id", "mark")
+        contested = contested.agg(F.collect_set(F.struct("first", "length", "anchor")).alias("runs"))
+        contested = scratch.put_clean(contested, "contested")
+        _, doubtful = marked_by(texts, contested.select("doc_id"), "doc_id")
+        windows = doubtful.join(contested, ["doc_id", "mark"]).select("doc_id", "mark", "text", "runs").mapInArrow(_windows(window), _WINDOWS)
+        windows = scratch.put_clean(windows, "windows")
         least = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
         edges = windows.join(least.select("anchor", "hash", "owner"), ["anchor", "hash"]).where("doc_id > owner")
-        edges = edges.select("doc_id", F.col("start").alias("first"), (F.col("start") + window).alias("last"))
+        edges = edges.select("doc_id", "mark", F.col("start").alias("first"), (F.col("start") + window).alias("last"))
         return cut(whole.unionByName(edges))
 
 
+def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """``docs`` in two parts: rows that surely lose nothing, and the others with an array of their spans (or null) in the column named last."""
+    marks = cut(spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    sure, doubtful = marked_by(docs, marks.select("doc_id"), id_col)
+    doubtful, names = with_names(doubtful, id_col, text_col)
+    name = fresh(doubtful, "__spans")
+    marks = marks.select(F.col("doc_id").alias(names[0]), F.col("mark").alias(names[1]), F.col("spans").alias(name))
+    return sure, doubtful.join(marks, names, "left").drop(*names), name
+
+
 def dedup_substrings(
     docs: DataFrame,
     *,
@@ -196,8 +215,9 @@ def dedup_substrings(
     Kept words are joined by one space.
     """
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, k=k)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sure, marked, name = _with_spans(texts, spans, "doc_id", "text")
+    rows = marked.unionByName(sure.withColumn(name, F.lit(None).cast(marked.schema[name].dataType)))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +238,7 @@ def dedup_substrings(
             out = [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(out)])
 
-    return texts.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(emit, schema)
+    return rows.select("doc_id", "text", name).mapInArrow(emit, schema)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = KGRAM) -> DataFrame:
@@ -228,28 +248,27 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     change. ``n_chars``, where there is such a column, follows the new text. Only documents
     with repeats pass through Python.
     """
-    marks = repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, k=k).groupBy("doc_id")
-    marks = cut(marks.agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-    edited = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(marks, "doc_id")
+    sure, marked, name = _with_spans(docs, repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, k=k), id_col, text_col)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    place = docs.columns.index(text_col)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept: list[str | None] = []
-            for words in chunks(batch.column(1), hashes=False):
+            spans = batch.column(batch.num_columns - 1)
+            for words in chunks(batch.column(place), hashes=False):
                 for i in range(words.hi - words.lo):
                     lo, hi = int(words.offsets[i]), int(words.offsets[i + 1])
-                    gone = removed_words(hi - lo, batch.column(2)[words.lo + i].as_py())
+                    gone = removed_words(hi - lo, spans[words.lo + i].as_py())
                     kept.append(None if gone.all() else _cut_out(words, i, gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["edited_id", "edited_text"])
-
-    edited = cut(edited.select("doc_id", "text", "spans").dropDuplicates(["doc_id"]).mapInArrow(emit, "edited_id long, edited_text string"))
-    untouched = without(docs, edited.select(F.col("edited_id").alias("bad_id")), id_col)
-    changed = docs.join(edited.where("edited_text is not null"), docs[id_col].cast("long") == F.col("edited_id"))
-    columns = []
-    for c in docs.columns:
-        value = F.col("edited_text") if c == text_col else F.length("edited_text") if c == "n_chars" else docs[c]
-        columns.append(value.cast(docs.schema[c].dataType).alias(c))
-    return untouched.unionByName(changed.select(columns))
+            out = batch.columns[:-1]
+            out[place] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays(out, batch.schema.names[:-1])
+
+    changed = marked.where(F.col(name).isNotNull()).select(*columns, name).mapInArrow(emit, docs.schema).where(F.col(f"`{text_col}`").isNotNull())
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType))
+    return sure.unionByName(marked.where(F.col(name).isNull()).select(columns)).unionByName(changed)
 
 
 def _cut_out(words: Words, i: int, gone: np.ndarray) -> str:
