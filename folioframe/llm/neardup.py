@@ -16,10 +16,14 @@
 
 At similarity 0.8 a pair shares no band with probability 1.3e-7.
 
+Classes have numbers of their own, so an id may come with unlike texts.
+
 Defined results: a null or empty text has an empty set and links with nothing; a text with
 fewer words than a shingle has its whole sequence as one; repeated rows and equal texts
-share a component; a null id is kept and links with nothing; an empty table gives an empty
-result. Only the id and text columns are read.
+share a component; rows of one id with unlike texts are documents of their own, each linked
+by its own text, and a component is named by the least id in it; a null id is kept and links
+with nothing; texts of any length are read whole; an empty table gives an empty result.
+Only the id and text columns are read; others may have any names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.components import connected_components
+from folioframe.llm.components import connected_components, least_names
+from folioframe.llm.filters import marked_by, text_mark, with_names, without
 from folioframe.llm.scratch import Scratch, cut
 from folioframe.llm.streams import groups
 from folioframe.llm.textblocks import Words, as_long, chunks, mix, sequence_hashes
@@ -112,7 +117,7 @@ def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def _sketch(k: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in chunks(batch.column(1), lower=True):
+            for words in chunks(batch.column(2), lower=True):
                 size, one, two, signs = [], [], [], []
                 for s in shingle_sets(words, k):
                     size.append(len(s))
@@ -122,12 +127,13 @@ def _sketch(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.lo, words.hi - words.lo),
+                        batch.column(1).slice(words.lo, words.hi - words.lo),
                         pa.array(size, pa.int64()),
                         as_long(np.array(one, np.uint64)),
                         as_long(np.array(two, np.uint64)),
                         pa.array(signs, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "one", "two", "sign"],
+                    ["doc_id", "mark", "n_shingles", "one", "two", "sign"],
                 )
 
     return emit
@@ -143,7 +149,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = mix(keys ^ signs[:, :, r])
             ids = np.repeat(part.column(0).to_numpy(), BANDS)
             number = np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)
-            yield pa.RecordBatch.from_arrays([as_long(keys.ravel()), pa.array(number), pa.array(ids)], ["band", "band_no", "doc_id"])
+            yield pa.RecordBatch.from_arrays([as_long(keys.ravel()), pa.array(number), pa.array(ids)], ["band", "band_no", "node"])
 
 
 def _pruned(bounds: list[tuple[int, int]]):
@@ -160,7 +166,7 @@ def _pruned(bounds: list[tuple[int, int]]):
 
 
 def _across(bounds: list[tuple[int, int]], k: int, percent: int):
-    """Links between components, of sorted rows band, i, j, band_no, block, doc_id, component, sign, text.
+    """Links between components, of sorted rows band, i, j, band_no, block, node, component, sign, text.
 
     Pairs are pruned and verified here and only links leave. A pair is looked at in its
     first common band alone, and not once its documents are in one component.
@@ -168,7 +174,7 @@ def _across(bounds: list[tuple[int, int]], k: int, percent: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["band", "i", "j"]):
-            block, ids, component = (group[c].to_numpy().copy() for c in ("block", "doc_id", "component"))
+            block, ids, component = (group[c].to_numpy().copy() for c in ("block", "node", "component"))
             signs, number = _signatures(group["sign"]), group["band_no"][0].as_py()
             sets = [s for w in chunks(group["text"], lower=True) for s in shingle_sets(w, k)]
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
@@ -236,8 +242,9 @@ def near_duplicates(
     shingle: int = 5,
     percent: int = 80,
     miss: float = 1e-7,
+    marked: bool = False,
 ) -> DataFrame:
-    """Per document ``doc_id, n_shingles, component_id, kept``.
+    """Per document ``doc_id, n_shingles, component_id, kept``, and the text's ``mark`` if asked for.
 
     Documents link at a Jaccard similarity of ``percent`` or more over shingles of
     ``shingle`` lower-cased words. ``miss`` is the probability at which the sequential test
@@ -246,51 +253,69 @@ def near_duplicates(
     if not 50 <= percent <= 100:
         raise ValueError("the bands are laid out for thresholds from 50 to 100 percent")
     bounds = least_matches(percent / 100, miss)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     pair_type = "a long, b long"
     with Scratch(docs.sparkSession) as scratch:
         sketches = scratch.put(
-            texts.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, one long, two long, sign binary"), "sketches"
+            texts.mapInArrow(_sketch(shingle), "doc_id long, mark int, n_shingles long, one long, two long, sign binary"), "sketches"
         )
         sets = sketches.where("n_shingles > 0 and doc_id is not null")
-        classes = cut(sets.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("head")))
-        heads = sets.join(classes.select("head"), F.col("doc_id") == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
-        banded = heads.select("doc_id", "sign").mapInArrow(_bands, "band long, band_no int, doc_id long")
-        centre = F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("centre")
+        key = ["one", "two", "n_shingles"]
+        classes = sets.groupBy(*key).agg(F.min(F.struct("doc_id", "mark")).alias("head"))
+        classes = classes.select(*key, F.col("head.doc_id").alias("head"), F.col("head.mark").alias("head_mark"), F.monotonically_increasing_id().alias("node"))
+        classes = scratch.put_clean(classes, "classes")  # written, so numbers stay
+        own = classes.select("node", F.col("head").alias("doc_id"), F.col("head_mark").alias("mark"), *key)
+        heads = sets.join(own, ["doc_id", "mark", *key]).select("node", "doc_id", "mark", "sign").dropDuplicates(["node"])
+        banded = heads.select("node", "sign").mapInArrow(_bands, "band long, band_no int, node long")
+        centre = F.min_by("node", F.xxhash64("node", "band")).alias("centre")
         buckets = banded.groupBy("band").agg(centre, F.count("*").alias("members")).where("members > 1")
         buckets = scratch.put(buckets, "buckets")
-        members = scratch.put(banded.join(buckets, "band").select("band", "band_no", "doc_id", "centre", "members"), "members")
-        wanted = members.select("doc_id").distinct()
-        known = heads.select("doc_id", "sign").join(wanted, "doc_id").join(texts, "doc_id").dropDuplicates(["doc_id"])
-        known = scratch.put(known, "known")
+        members = scratch.put(banded.join(buckets, "band").select("band", "band_no", "node", "centre", "members"), "members")
+        wanted = scratch.put_clean(heads.join(members.select("node").distinct(), "node"), "wanted")
+        _, there = marked_by(texts, wanted.select("doc_id"), "doc_id")
+        known = wanted.join(there, ["doc_id", "mark"]).select("node", "sign", "text").dropDuplicates(["node"])
+        known = scratch.put_clean(known, "known")
 
         def side(name: str, value: str) -> DataFrame:
-            return known.select(F.col("doc_id").alias(name), F.col(value).alias(f"{value}_{name}"))
+            return known.select(F.col("node").alias(name), F.col(value).alias(f"{value}_{name}"))
 
-        ends = F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")
-        stars = members.where("doc_id <> centre").select(*ends).distinct()
+        ends = F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")
+        stars = members.where("node <> centre").select(*ends).distinct()
         signed = stars.join(side("a", "sign"), "a").join(side("b", "sign"), "b")
         played = signed.select("a", "b", "sign_a", "sign_b").mapInArrow(_pruned(bounds), pair_type)
         full = played.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
         links = scratch.put(full.mapInArrow(_exact(shingle, percent), pair_type), "links")
         found = connected_components(links)
 
-        placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
+        placed = members.join(found, "node", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         blocks = F.ceil(F.col("members") / BLOCK)
         rows = placed.join(mixed.select("band"), "band")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
         i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-        rows = rows.join(known, "doc_id").select("band", i, j, "band_no", "block", "doc_id", "component", "sign", "text")
+        rows = rows.join(known, "node").select("band", i, j, "band_no", "block", "node", "component", "sign", "text")
         rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
         more = scratch.put(rows.mapInArrow(_across(bounds, shingle, percent), pair_type), "crossing")
         if not more.isEmpty():
             found = connected_components(links.unionByName(more))
 
-        component = F.coalesce("component", "head", "doc_id").alias("component_id")
-        by_class = classes.join(found, F.col("head") == F.col("node"), "left").select("one", "two", "n_shingles", "head", "component")
-        result = sketches.select("doc_id", "n_shingles", "one", "two").join(by_class, ["one", "two", "n_shingles"], "left")
-        result = result.select("doc_id", "n_shingles", component)
-        return cut(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+        named = least_names(found, classes.select("node", "head"))
+        by_class = classes.join(named, "node", "left").select(*key, F.coalesce("component_id", "head").alias("component_id"))
+        columns = ["doc_id", "mark", "n_shingles", "component_id"]
+        linked = sets.drop("sign").join(by_class, key).select(columns)
+        alone = sketches.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id")).select(columns)
+        result = linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        return cut(result.select("doc_id", "n_shingles", "component_id", "kept", *["mark"] * marked))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that with the least id; of rows with equal ids and texts, one stays."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, marked=True, **options)
+    gone = found.where("not kept").select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_text"))
+    kept = without(docs, gone, id_col, text_col)
+    twice = found.where("kept and doc_id is not null").groupBy("doc_id", "mark").count().where("count > 1")
+    single, repeated = marked_by(kept, twice.select("doc_id"), id_col)
+    repeated, names = with_names(repeated, id_col, text_col)
+    return single.unionByName(repeated.dropDuplicates(names).drop(*names))
