@@ -8,7 +8,8 @@ time over the whole table and the order is truncated at the total budget.
 Running sums never pull a source into one task. Within a source the shuffled order is cut
 into 4,096 hash ranges: their sums are added up in a small table and only the rest of the
 sum is taken inside a range. The global order is cut into ranges of finish time the same
-way, and just the range in which the budget ends is sorted row by row.
+way, the range in which the budget ends into ranges again until few copies are left in it,
+and just these are sorted row by row. The shuffled order is that of MD5 hashes of the ids.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last
 in order; documents of size 0 are never taken; equal rows are separate documents; an
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from folioframe.llm.scratch import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-_RANGES = 12  # bits: 4,096 ranges of the shuffled order, and of finish time from 0 to 1
+_RANGES = 4096  # of the shuffled order (three hexadecimal digits), and of finish time from 0 to 1
+_FEW = 100_000  # copies that one task sorts
+_ROUNDS = 4  # in which ranges of finish time are cut; a double has no more digits
 
 
 def word_count(text: Column) -> Column:
@@ -81,11 +84,11 @@ def mix(
             doc.alias("doc_id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(doc, F.lit(seed)).alias("place"),
+            F.coalesce(F.substring(F.md5(F.concat_ws(":", doc.cast("string"), F.lit(str(seed))).cast("binary")), 1, 16), F.lit("")).alias("place"),
         )
     )
     sources = cut(source_targets(sizes, weights, budget, repeats))
-    ranged = sizes.withColumn("range", F.shiftright("place", 64 - _RANGES))
+    ranged = sizes.withColumn("range", F.substring("place", 1, 3))
     before = F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")
     ranges = (
         ranged.groupBy("source", "range")
@@ -117,18 +120,25 @@ def mix(
 def _last_taken(placed: DataFrame, keys: list[Column], budget: float) -> Column | None:
     """The key of the last copy, in order of finish time, that fits the total budget; one row reaches the driver."""
     copies = placed.select(F.explode(F.array(*keys)).alias("key")).where(F.col("key").isNotNull())
-    slot = F.least(F.floor(F.col("key.finish") * (1 << _RANGES)), F.lit(2 << _RANGES))
-    slots = copies.groupBy(slot.alias("slot")).agg(F.sum("key.size").alias("slot_size"))
-    total = budget * (placed.agg(F.sum("size")).first()[0] or 0)
-    upto = F.sum("slot_size").over(Window.orderBy("slot"))
-    ends = slots.select("slot", (upto - F.col("slot_size")).alias("before")).where(F.col("before") < total)
-    edge = ends.orderBy(F.desc("slot")).first()
-    if edge is None:
-        return None
+    total, before = budget * (placed.agg(F.sum("size")).first()[0] or 0), 0
+    inside, scaled, lower = copies, F.least(F.col("key.finish") * _RANGES, F.lit(2.0 * _RANGES)), []
+    for _ in range(_ROUNDS):
+        slot = F.floor(scaled)
+        slots = inside.groupBy(slot.alias("slot")).agg(F.sum("key.size").alias("slot_size"), F.count("*").alias("copies"))
+        upto = F.sum("slot_size").over(Window.orderBy("slot"))  # 2 * _RANGES rows at most
+        ends = slots.select("slot", "copies", (before + upto - F.col("slot_size")).alias("before")).where(F.col("before") < total)
+        edge = ends.orderBy(F.desc("slot")).first()
+        if edge is None:
+            return None
+        lower.append(inside.where(slot < edge.slot))
+        inside, before = inside.where(slot == edge.slot), edge.before
+        if edge.copies <= _FEW:
+            break
+        scaled = (scaled - edge.slot) * _RANGES
     order = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    inside = copies.where(slot == edge.slot).withColumn("sum", edge.before + F.sum("key.size").over(order))
-    found = inside.where(F.col("sum") <= total).agg(F.max("key").alias("key")).first().key
-    found = found or copies.where(slot < edge.slot).agg(F.max("key").alias("key")).first().key
+    found = inside.withColumn("sum", before + F.sum("key.size").over(order)).where(F.col("sum") <= total).agg(F.max("key").alias("key")).first().key
+    while found is None and lower:
+        found = lower.pop().agg(F.max("key").alias("key")).first().key
     if found is None:
         return None
     kinds = copies.schema["key"].dataType
