@@ -5,14 +5,19 @@ document is taken as a mixture: expectation-maximisation estimates the proportio
 which the languages make up its trigrams. Language sets are then compared by penalised
 likelihood (BIC): the likeliest single language, then the two, three, ... with the
 largest proportions, each fitted again, until a larger set no longer pays. The answer is
-the language with the largest proportion in the best set, and that proportion.
+the language with the largest proportion in the best set. Its score is that proportion,
+times how likely this language is among all if just one is taken: next to 1 in any text of
+some length, and the less the shorter a text. A text counts as standing between blanks, so
+the shortest has a trigram too.
 
 The model is a table of languages by buckets, so its size is fixed but for the number of
 languages, which may not exceed ``MOST_LANGUAGES``; it is all that is broadcast.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is
-everything when no labelled text is there to learn from; a null id is neither learned
-from nor held out; repeated rows get equal results; an empty table gives an empty result.
+everything when no labelled text is there to learn from; among languages that are equally
+likely the first in code point order is taken; a null id is neither learned from nor held
+out; repeated rows get equal results, and rows of one id with unlike texts are judged each
+by its own text; texts of any length are read whole; an empty table gives an empty result.
 Only the named columns are read; the language is never used to predict.
 """
 
@@ -40,11 +45,11 @@ _CLASS[128:] = np.arange(128, 256)
 def _trigrams(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Documents by buckets: how often each hashed trigram occurs."""
     n = len(bounds) - 1
-    if len(data) < 3:
-        return np.zeros((n, BUCKETS), np.float32)
-    x = _CLASS[data].astype(np.uint32)
+    sizes = np.diff(bounds) + 2
+    x = np.full(int(sizes.sum()), 0x20, np.uint32)
+    doc = np.repeat(np.arange(n), sizes)
+    x[np.arange(len(data)) + 2 * np.repeat(np.arange(n), np.diff(bounds)) + 1] = _CLASS[data]
     key = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
-    doc = np.repeat(np.arange(n), np.diff(bounds))
     ok = (doc[:-2] == doc[2:]) & (key != 0x202020)
     bucket = (key * np.uint32(2654435761)) >> np.uint32(20)
     at = doc[:-2][ok] * BUCKETS + bucket[ok]
@@ -110,16 +115,18 @@ def log_likelihood(x: np.ndarray, likelihood: np.ndarray, share: np.ndarray) ->
     return (x * np.log(share @ likelihood)).sum(axis=1, dtype=np.float64)
 
 
-def infer(x: np.ndarray, likelihood: np.ndarray, steps: int) -> np.ndarray:
-    """Proportions in the language set of the best penalised likelihood, by row."""
+def infer(x: np.ndarray, likelihood: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """By row, proportions in the language set of the best penalised likelihood, and the posterior of each language alone."""
     rows, langs = len(x), len(likelihood)
     n = x.sum(axis=1, dtype=np.float64)
-    single = x @ np.log(likelihood).T
+    single = (x @ np.log(likelihood).T).astype(np.float64)
+    alone = np.exp(single - single.max(axis=1, keepdims=True))
+    alone /= alone.sum(axis=1, keepdims=True)
     best = np.zeros((rows, langs), np.float32)
     best[np.arange(rows), single.argmax(axis=1)] = 1
-    best_score = single.max(axis=1).astype(np.float64)
+    best_score = single.max(axis=1)
     if langs == 1:
-        return best
+        return best, alone
     full = fit_mixture(x, likelihood, np.full((rows, langs), 1 / langs), steps)
     order = np.argsort(-full, axis=1, kind="stable")
     open_rows = np.arange(rows)
@@ -136,7 +143,7 @@ def infer(x: np.ndarray, likelihood: np.ndarray, steps: int) -> np.ndarray:
         open_rows = open_rows[better]
         if not len(open_rows):
             break
-    return best
+    return best, alone
 
 
 def _predict(shared, steps: int):
@@ -148,10 +155,12 @@ def _predict(shared, steps: int):
                 lang, score = [UNKNOWN] * (hi - lo), np.zeros(hi - lo)
                 rows = np.flatnonzero(known)
                 if len(names) and len(rows):
-                    share = infer(_trigrams(data, bounds)[rows], likelihood, steps)
-                    for r, s in zip(rows.tolist(), share, strict=True):
-                        lang[r] = names[int(s.argmax())]
-                        score[r] = min(1.0, float(s.max()))
+                    share, alone = infer(_trigrams(data, bounds)[rows], likelihood, steps)
+                    for r, s, p in zip(rows.tolist(), share, alone, strict=True):
+                        top = int(s.argmax())
+                        lang[r] = names[top]
+                        mixed = np.count_nonzero(s) > 1  # then no language need be likely alone
+                        score[r] = min(1.0, float(s[top]) * (1.0 if mixed else float(p[top])))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)],
                     ["doc_id", "held_out", "lang_pred", "score"],
