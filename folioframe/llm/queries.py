@@ -15,7 +15,7 @@ from folioframe.llm.neardup import near_duplicates
 from folioframe.llm.quality import classify_quality
 from folioframe.llm.substrings import dedup_substrings
 from folioframe.llm.suffix_tree import score_texts
-from folioframe.llm.url_filter import host_rule, judge_urls
+from folioframe.llm.url_filter import host_rule, judge_urls, pattern_rule
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages"))
+    return extract_pages(table(spark, sf_dir, "pages"), form_text=True)
 
 
 URL_RULES = [
@@ -43,8 +43,15 @@ URL_RULES = [
 ]
 
 
+#: For what no rule above fits: numbered pages saved as files on .org hosts, and mobile twins on .net hosts.
+URL_PATTERNS = [
+    pattern_rule("block", "org html", r"^[^/]*\.org/[a-z]{2}/[0-9]+\.html$", ("org",)),
+    pattern_rule("block", "mobile net", r"^m\.[^/]*\.net/", ("m", "net")),
+]
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, patterns=URL_PATTERNS)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +113,15 @@ WITH cutup AS (
   ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
   ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')
 )
-SELECT page_id, host, path,
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, pattern
+FROM (SELECT *, CASE WHEN rule IS NOT NULL THEN NULL WHEN regexp_matches(host || path, '^[^/]*\.org/[a-z]{2}/[0-9]+\.html$') THEN 'org html'
+  WHEN regexp_matches(host || path, '^m\.[^/]*\.net/') THEN 'mobile net' END AS pattern
+FROM (SELECT page_id, host, path,
   (SELECT arg_max(rule, length(rule)) FROM rules
    WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule,
-  coalesce((SELECT arg_max(rules.verdict, length(rule)) FROM rules
-   WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)), 'allow') AS verdict
-FROM parts
+  (SELECT arg_max(rules.verdict, length(rule)) FROM rules
+   WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule_verdict
+FROM parts))
 """
 
 OP5_SQL = rf"""
@@ -177,6 +187,25 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """
 
 
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, substr(md5(doc_id || ':17'), 1, 16) AS place FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM totals),
+weighed AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight FROM ranked),
+queued AS (SELECT *, 2 * source_size / weight AS exhausted FROM weighed),
+levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(2 * sum(source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS own
+  FROM queued WINDOW before AS (ORDER BY exhausted, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levelled AS (SELECT *, max(CASE WHEN exhausted > own THEN own END) OVER () AS level FROM levels),
+sources AS (SELECT source, rank, source_size, CASE WHEN level IS NULL OR exhausted <= level THEN (2 * source_size)::DOUBLE ELSE level * weight END AS target FROM levelled),
+served AS (SELECT d.*, s.rank, s.source_size, s.target, sum(size) OVER (PARTITION BY s.rank ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS served
+  FROM d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+copies AS (SELECT *, (served + copy * source_size) / target AS finish FROM served, range(2) t(copy) WHERE size > 0),
+taken AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, rank, place, doc_id, size, copy ROWS UNBOUNDED PRECEDING) <= 1.5 * (SELECT sum(size) FROM d) AS fits FROM copies),
+of_doc AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM taken WHERE fits GROUP BY doc_id)
+SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM served LEFT JOIN of_doc USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": OP3_SQL,
@@ -184,4 +213,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": OP6_SQL,
         "op7_near_dedup": OP7_SQL,
         "op8_embedding_dedup": OP8_SQL,
+        "op10_source_mix": OP10_SQL,
     }

@@ -4,17 +4,22 @@ A rule names a host (with its subdomains) and a path prefix; a pattern rule is a
 expression over ``host + path`` with the literal tokens that any match must contain. Each
 rule is filed under the one of its literal tokens that is rarest among the URLs. A URL's
 own tokens fetch the candidate rules, and only those run their regular expressions. The
-longest fitting rule wins.
+longest fitting rule wins. Pattern rules given apart judge the URLs that no rule of the
+list fits, through the same index.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits
-no rule; repeated rows are judged separately; an empty table gives an empty result. Only
-the named columns are read. The rules are a bounded configuration table: more than
+no rule; repeated rows are judged separately, and so are rows of one id with unlike URLs;
+URLs of any length are read whole; among rules of equal length the last in code point order
+wins; an empty table gives an empty result. Only the named columns are read; others may have
+any names. Equal places are judged once, and rows without a place not at all, so hot URLs
+are no hot keys. The rules are a bounded configuration table: more than
 ``MAX_RULES`` raise an error, which bounds what is broadcast; more rules can be passed as
 a DataFrame with ``indexed_rules``' columns, which is then joined by shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -67,16 +72,11 @@ def url_tokens(host: Column, path: Column) -> Column:
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules; pass them as a DataFrame")
-    rows = [
-        F.struct(
-            F.lit(r.name).alias("rule"),
-            F.lit(r.verdict).alias("rule_verdict"),
-            F.lit(r.regex).alias("regex"),
-            F.array(*[F.lit(t) for t in r.tokens]).alias("rule_tokens"),
-        )
-        for r in rules
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    listed = json.dumps([{"rule": r.name, "rule_verdict": r.verdict, "regex": r.regex, "rule_tokens": r.tokens} for r in rules])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(listed), _RULES)))
+
+
+_RULES = "array<struct<rule string, rule_verdict string, regex string, rule_tokens array<string>>>"
 
 
 def indexed_rules(rules: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def indexed_rules(rules: DataFrame, tokens: DataFrame) -> DataFrame:
     exploded = rules.withColumn("token", F.explode("rule_tokens"))
     return (
         exploded.join(F.broadcast(seen), "token", "left")
-        .groupBy("rule", "rule_verdict", "regex")
+        .groupBy(*[c for c in rules.columns if c != "rule_tokens"])
         .agg(F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), "token")).alias("token"))
     )
 
@@ -98,25 +98,36 @@ def judge_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     default: str = "allow",
+    patterns: list[Rule] | None = None,
 ) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` for each row; ``default`` where no rule fits."""
+    """``page_id, host, path, rule, verdict`` for each row; ``default`` where no rule fits.
+
+    ``patterns`` judge where no other rule fits; ``pattern`` then names the one that did.
+    """
     listed = not isinstance(rules, DataFrame)
-    table = rules_table(pages.sparkSession, rules) if listed else rules
+    table = (rules_table(pages.sparkSession, rules) if listed else rules).withColumn("first", F.lit(True))
+    if patterns:
+        table = table.unionByName(rules_table(pages.sparkSession, patterns).withColumn("first", F.lit(False)))
     urls = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     tokens = urls.select(F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
     index = indexed_rules(table, tokens)
-    by_token = index.groupBy("token").agg(F.collect_list(F.struct("rule", "rule_verdict", "regex")).alias("candidates"))
-    places = urls.select("host", "path").distinct()  # equal places are judged once, so a hot URL is one row
+    by_token = index.groupBy("token").agg(F.collect_list(F.struct("rule", "rule_verdict", "regex", "first")).alias("candidates"))
+    some = (F.col("host") != "") | (F.col("path") != "")
+    places = urls.where(some).select("host", "path").distinct()  # equal places are judged once, so a hot URL is one row
     text = F.concat("host", "path")
     found = places.withColumn("token", F.explode(url_tokens(F.col("host"), F.col("path"))))
     found = found.join(F.broadcast(by_token) if listed else by_token, "token")
     found = found.select("host", "path", F.inline("candidates")).where(F.rlike(text, F.col("regex")))
-    best = F.max(F.struct(F.length("rule").alias("n"), "rule", "rule_verdict")).alias("best")
+    best = F.max(F.struct("first", F.length("rule").alias("n"), "rule", "rule_verdict")).alias("best")
     won = found.groupBy("host", "path").agg(best)
-    return urls.join(won, ["host", "path"], "left").select(
+    judged = urls.where(some).join(won, ["host", "path"], "left")
+    judged = judged.unionByName(urls.where(~some).withColumn("best", F.lit(None).cast(judged.schema["best"].dataType)))
+    name = F.col("best.rule")
+    return judged.select(
         "page_id",
         "host",
         "path",
-        F.col("best.rule").alias("rule"),
+        F.when(F.col("best.first"), name).alias("rule"),
         F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"),
+        *[F.when(~F.col("best.first"), name).alias("pattern")] * bool(patterns),
     )
