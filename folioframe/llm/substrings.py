@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from folioframe.llm.filters import fresh, marked_by, text_mark, with_names
 from folioframe.llm.scratch import Scratch, cut
@@ -265,7 +266,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out[place] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays(out, batch.schema.names[:-1])
 
-    changed = marked.where(F.col(name).isNotNull()).select(*columns, name).mapInArrow(emit, docs.schema).where(F.col(f"`{text_col}`").isNotNull())
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # names with dots cannot go through mapInArrow
+    schema = StructType([StructField(p, f.dataType) for p, f in zip(plain, docs.schema, strict=True)])
+    changed = marked.where(F.col(name).isNotNull()).select(*columns, name).toDF(*plain, "spans").mapInArrow(emit, schema)
+    changed = changed.where(F.col(plain[place]).isNotNull()).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType))
     return sure.unionByName(marked.where(F.col(name).isNull()).select(columns)).unionByName(changed)
