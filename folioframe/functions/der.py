@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 
 # Object identifiers.
 DIGESTS = {"1.3.14.3.2.26": "sha1", "2.16.840.1.101.3.4.2.1": "sha256", "2.16.840.1.101.3.4.2.2": "sha384", "2.16.840.1.101.3.4.2.3": "sha512"}
+RSA_DIGESTS = {"1.2.840.113549.1.1.5": "sha1", "1.2.840.113549.1.1.11": "sha256", "1.2.840.113549.1.1.12": "sha384", "1.2.840.113549.1.1.13": "sha512"}
 MESSAGE_DIGEST, SIGNING_TIME, TIMESTAMP = "1.2.840.113549.1.9.4", "1.2.840.113549.1.9.5", "1.2.840.113549.1.9.16.2.14"
 NAMES = {"2.5.4.3": "CN", "2.5.4.6": "C", "2.5.4.7": "L", "2.5.4.8": "ST", "2.5.4.10": "O", "2.5.4.11": "OU"}
 
@@ -92,6 +93,8 @@ class Certificate:
     not_after: datetime | None
     modulus: int | None
     exponent: int | None
+    digest_name: str | None  # of the issuer's RSA signature; None if it is of another kind
+    signature: bytes
 
 
 def distinguished_name(item: Tlv) -> str:
@@ -104,7 +107,7 @@ def distinguished_name(item: Tlv) -> str:
 
 
 def certificate(item: Tlv) -> Certificate:
-    body = item.children()[0]
+    body, algorithm, signature = item.children()[:3]
     fields = body.children()
     fields = fields[1:] if fields[0].tag == 0xA0 else fields
     serial, _, issuer, validity, subject, key = fields[:6]
@@ -117,22 +120,47 @@ def certificate(item: Tlv) -> Certificate:
             modulus, exponent = int.from_bytes(n.value, "big"), int.from_bytes(e.value, "big")
     except (DerError, IndexError, ValueError):
         pass
-    return Certificate(item.whole, body.whole, int.from_bytes(serial.value, "big", signed=True), distinguished_name(issuer), distinguished_name(subject), time_of(before), time_of(after), modulus, exponent)
+    return Certificate(item.whole, body.whole, int.from_bytes(serial.value, "big", signed=True), distinguished_name(issuer), distinguished_name(subject), time_of(before), time_of(after), modulus, exponent, RSA_DIGESTS.get(oid(algorithm.children()[0].value)), signature.value[1:])
+
+
+def oid_bytes(text: str) -> bytes:
+    """An object identifier as DER, with tag and length."""
+    first, second, *rest = map(int, text.split("."))
+    out = bytearray([40 * first + second])
+    for v in rest:
+        groups = [v & 0x7F]
+        while v := v >> 7:
+            groups.append(0x80 | (v & 0x7F))
+        out += bytes(reversed(groups))
+    return b"\x06" + bytes([len(out)]) + bytes(out)
+
+
+def signed_blocks(digest: bytes, digest_name: str, size: int) -> list[bytes]:
+    """All that a PKCS#1 v1.5 signature of a digest may hold: the algorithm's parameters are null or left out."""
+    out = []
+    for parameters in (b"\x05\x00", b""):
+        algorithm = oid_bytes(next(k for k, v in DIGESTS.items() if v == digest_name)) + parameters
+        algorithm = b"\x30" + bytes([len(algorithm)]) + algorithm
+        info = algorithm + b"\x04" + bytes([len(digest)]) + digest
+        info = b"\x30" + bytes([len(info)]) + info
+        if size >= len(info) + 11:
+            out.append(b"\x00\x01" + b"\xff" * (size - 3 - len(info)) + b"\x00" + info)
+    return out
+
 
+def rsa_verifies(modulus: int | None, exponent: int | None, signature: bytes, digest: bytes, digest_name: str | None = None) -> bool | None:
+    """PKCS#1 v1.5: whether the signature is of this digest, by its whole block; None without an RSA key.
 
-def rsa_verifies(modulus: int | None, exponent: int | None, signature: bytes, digest: bytes) -> bool | None:
-    """PKCS#1 v1.5: whether the signature is of this digest; None without an RSA key."""
+    The digest's algorithm is told by its length, where it is not named.
+    """
     if not modulus or not exponent:
         return None
+    digest_name = digest_name or {20: "sha1", 32: "sha256", 48: "sha384", 64: "sha512"}.get(len(digest))
     size = (modulus.bit_length() + 7) // 8
-    block = pow(int.from_bytes(signature, "big"), exponent, modulus).to_bytes(size, "big")
-    if not block.startswith(b"\x00\x01\xff"):
-        return False
-    _, _, info = block[2:].partition(b"\x00")
-    try:
-        return read(info, 0, len(info)).children()[1].value == digest
-    except (DerError, IndexError):
+    value = int.from_bytes(signature, "big")
+    if digest_name is None or len(signature) != size or value >= modulus:
         return False
+    return pow(value, exponent, modulus).to_bytes(size, "big") in signed_blocks(digest, digest_name, size)
 
 
 @dataclass
@@ -143,6 +171,7 @@ class Cms:
     has_timestamp: bool
     signature_ok: bool | None
     certificates: list[Certificate]
+    own: Certificate | None = None  # the signer's
 
 
 def cms_info(data: bytes) -> Cms | None:
@@ -169,8 +198,8 @@ def cms_info(data: bytes) -> Cms | None:
         own = next((c for c in certificates if serial is not None and c.serial == int.from_bytes(serial.value, "big", signed=True)), None)
         if own and signed_attributes and digest_name:
             body = b"\x31" + signed_attributes.whole[1:]
-            ok = rsa_verifies(own.modulus, own.exponent, next(p for p in reversed(signer) if p.tag == 0x04).value, hashlib.new(digest_name, body).digest())
-        return Cms(digest_name, digest, when, stamped, ok, certificates)
+            ok = rsa_verifies(own.modulus, own.exponent, next(p for p in reversed(signer) if p.tag == 0x04).value, hashlib.new(digest_name, body).digest(), digest_name)
+        return Cms(digest_name, digest, when, stamped, ok, certificates, own)
     except (DerError, IndexError, ValueError, StopIteration):
         return None
 
@@ -182,3 +211,15 @@ def chain(certificates: list[Certificate], leaf: Certificate) -> list[Certificat
         out.append(above)
         seen.add(above.raw)
     return out
+
+
+def verified(path: list[Certificate]) -> bool | None:
+    """Whether each certificate of a chain is signed by the next, and the last by itself if it says so; None if one cannot be checked."""
+    answers: list[bool | None] = []
+    for i, c in enumerate(path):
+        above = path[i + 1] if i + 1 < len(path) else c if c.issuer == c.subject else None
+        if above is None or c.digest_name is None:
+            answers.append(None)
+        else:
+            answers.append(rsa_verifies(above.modulus, above.exponent, c.signature, hashlib.new(c.digest_name, c.body).digest(), c.digest_name))
+    return False if False in answers else None if None in answers else True

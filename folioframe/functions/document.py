@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from folioframe.functions import filters
+from folioframe.functions.crypt import Crypt, handler
 from folioframe.functions.cos import OBJECT_HEADER, Name, ParseError, Recovery, Ref, Stream, number, parse, parse_indirect, skip
 
 HEADER_REACH = 1024
@@ -58,9 +59,24 @@ class Pdf:
     objects: dict[int, tuple[Ref, Any]] = field(default_factory=dict)
     containers: dict[int, dict[int, Any]] = field(default_factory=dict)
     failed: set[int] = field(default_factory=set)
+    crypt: Crypt | None = None
+    locked: bool = False  # encrypted, and not opened: strings and streams are as they stand in the file
+    closed: int = -1  # number of the encryption dictionary, which is never encrypted
 
     # ---- objects ----
 
+    def unlock(self, password: bytes) -> None:
+        """Finds out how the file is encrypted, if it is; what is parsed from then on is decrypted."""
+        entry = self.trailer.get("Encrypt")
+        if entry is None or self.crypt:
+            return
+        ids = self.resolve(self.trailer.get("ID"))
+        first = self.resolve(ids[0]) if isinstance(ids, list) and ids else b""
+        self.crypt = handler(entry, bytes(first) if isinstance(first, bytes) else b"", password, self.resolve)
+        self.locked = self.crypt is None
+        self.closed = entry.num if isinstance(entry, Ref) else -1
+        self.objects, self.containers, self.failed = {}, {}, set()
+
     def get(self, ref: Ref) -> Any:
         """The object of a reference, parsed on first use; None if it is not there."""
         num = ref.num
@@ -75,6 +91,8 @@ class Pdf:
                 found, value, _ = parse_indirect(self.data, entry.offset, lambda r: self.get(r))
                 if found.num != num:
                     raise ParseError("another object is at this offset")
+                if self.crypt and num != self.closed:
+                    value = self.crypt.changed(found, value, True)
             else:
                 value = self.container(entry.container)[num]
                 found = Ref(num, 0)
@@ -285,8 +303,12 @@ def _merge(pdf: Pdf) -> None:
             pdf.trailer.setdefault(k, v)
 
 
-def load(data: bytes, lenient: bool = False) -> Pdf:
-    """Loads a file. Strict loading raises ``ParseError``; lenient loading never does and reports instead."""
+def load(data: bytes, lenient: bool = False, password: bytes = b"") -> Pdf:
+    """Loads a file. Strict loading raises ``ParseError``; lenient loading never does and reports instead.
+
+    Encrypted files are decrypted if the password opens them (the empty one, that of files
+    anyone may read, unless another is given); else they are ``locked``.
+    """
     pdf = Pdf(data, header_version(data))
     if pdf.version is None:
         if not lenient:
@@ -295,6 +317,7 @@ def load(data: bytes, lenient: bool = False) -> Pdf:
     try:
         read_sections(pdf, find_startxref(data))
         _merge(pdf)
+        pdf.unlock(password)
         if lenient and (not pdf.catalog or not _offsets_hold(pdf)):
             raise ParseError("the cross-reference table does not fit the file")
         if not pdf.trailer.get("Root"):
@@ -303,7 +326,9 @@ def load(data: bytes, lenient: bool = False) -> Pdf:
         if not lenient:
             raise ParseError(str(e)) from e
         pdf.report.warnings.append(str(e))
-        scan(pdf)
+        scan(pdf, password)
+    if pdf.locked:
+        pdf.report.warnings.append("encrypted, and not opened by the password")
     return pdf
 
 
@@ -316,12 +341,13 @@ def _offsets_hold(pdf: Pdf) -> bool:
     return True
 
 
-def scan(pdf: Pdf) -> None:
+def scan(pdf: Pdf, password: bytes = b"") -> None:
     """Finds objects by their headers, the last of a number winning, and a trailer where there is one."""
     data = pdf.data
     pdf.report.xref_recovered = True
     pdf.entries, pdf.trailers, pdf.winners, pdf.trailer = [], [], {}, {}
     pdf.objects, pdf.containers, pdf.failed = {}, {}, set()
+    pdf.crypt, pdf.locked, pdf.closed = None, False, -1
     for m in OBJECT_HEADER.finditer(data):
         if m.start() and data[m.start() - 1 : m.start()].isdigit():
             continue
@@ -342,6 +368,8 @@ def scan(pdf: Pdf) -> None:
             pdf.trailers.insert(0, value.dict)
         if isinstance(value, Stream) and value.dict.get("Type") == "ObjStm":
             streams.append(num)
+    pdf.trailer = {k: v for t in reversed(pdf.trailers) for k, v in t.items()}
+    pdf.unlock(password)
     for num in streams:
         try:
             for index, inner in enumerate(pdf.container(num)):

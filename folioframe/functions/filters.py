@@ -17,23 +17,32 @@ class FilterError(ValueError):
     pass
 
 
-def flate_decode(raw: bytes) -> bytes:
+def flate_decode(raw: bytes, most: int = MOST_BYTES) -> bytes:
+    """What can be decoded before damage; a stream of more than ``most`` bytes is an error, never a prefix."""
     for bits in (15, -15):
         d = zlib.decompressobj(bits)
         try:
-            return d.decompress(raw, MOST_BYTES)
+            out = d.decompress(raw, most + 1)
+            return _within(out, most)
         except zlib.error:
             d = zlib.decompressobj(bits)
             out = bytearray()
             try:
                 for i in range(0, len(raw), 64):
-                    out += d.decompress(raw[i : i + 64], MOST_BYTES)
+                    out += d.decompress(raw[i : i + 64], most + 1)
+                    _within(out, most)
             except zlib.error:
                 if out:
                     return bytes(out)
     raise FilterError("no flate data")
 
 
+def _within(out: bytes | bytearray, most: int) -> bytes | bytearray:
+    if len(out) > most:
+        raise FilterError(f"more than {most} bytes in a decoded stream")
+    return out
+
+
 def ascii_hex_decode(raw: bytes) -> bytes:
     digits = re.sub(rb"[\x00\t\n\x0c\r ]", b"", raw.split(b">", 1)[0])
     try:
@@ -249,6 +258,7 @@ def decode(raw: bytes, filters: Any, parms: Any = None) -> bytes:
             raw = run_length_decode(raw)
         elif name not in PASSED_THROUGH:
             raise FilterError(f"unknown filter {name}")
+        raw = _within(raw, MOST_BYTES)
     return raw
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from folioframe.functions.cos import Name, Ref, Stream, write, write_indirect
+from folioframe.functions.crypt import Locked
 from folioframe.functions.document import find_startxref, load
 from folioframe.functions.filters import encode
 
@@ -83,10 +84,17 @@ def pack(group: list[tuple[int, Any]]) -> Stream:
     return Stream(head, encode(bytes(first + body), ["FlateDecode"]))
 
 
-def write_update(original: bytes, changes: dict[Ref, Any]) -> bytes:
-    """An incremental update: the original bytes, the changed objects, and a section that points back."""
+def write_update(original: bytes, changes: dict[Ref, Any], password: bytes = b"") -> bytes:
+    """An incremental update: the original bytes, the changed objects, and a section that points back.
+
+    Into an encrypted file the changed objects are written encrypted; ``Locked`` is raised if the password does not open it.
+    """
     previous = find_startxref(original)
-    old = load(original)
+    old = load(original, password=password)
+    if old.locked:
+        raise Locked("encrypted, and not opened by the password")
+    if old.crypt:
+        changes = {r: old.crypt.changed(r, v, False) for r, v in changes.items()}
     out = bytearray(original if original.endswith(b"\n") else original + b"\n")
     offsets: dict[int, tuple[int, int]] = {}
     for ref in sorted(changes):

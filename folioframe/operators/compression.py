@@ -13,7 +13,7 @@ from folioframe.functions.cos import Name, Ref, Stream, references, renumbered,
 from folioframe.functions.document import Pdf, load
 from folioframe.functions.filters import FilterError, encode, names
 from folioframe.functions.writing import write_file
-from folioframe.operators.writers import each_content, estimated_size
+from folioframe.operators.writers import each_content, estimated_size, plain_objects
 
 # What a cleanup takes out of the catalog, of pages and of the information dictionary.
 CATALOG_KEYS = ("Metadata", "StructTreeRoot", "MarkInfo", "PieceInfo", "OCProperties", "OutputIntents")
@@ -49,7 +49,7 @@ def compress(files: DataFrame, options: Options = Options()) -> DataFrame:  # no
 
 
 def _compressed(pdf: Pdf, options: Options) -> bytes:
-    objects = {ref: v for ref, v, _ in pdf.all_objects() if not (isinstance(v, Stream) and v.dict.get("Type") in ("XRef", "ObjStm"))}
+    objects = plain_objects(pdf)
     root, info = pdf.trailer["Root"], pdf.trailer.get("Info")
     if options.cleanup:
         objects[root] = {k: v for k, v in objects[root].items() if k not in CATALOG_KEYS}

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,45 @@ def fdf(pairs: list[tuple[str, str]]) -> bytes:
     return b"%FDF-1.2\n1 0 obj\n" + write({"FDF": {"Fields": fields}}) + b"\nendobj\ntrailer\n" + write({"Root": Ref(1, 0)}) + b"\n%%EOF\n"
 
 
+def export_fdf(fields: DataFrame) -> DataFrame:
+    """``file_id, fdf`` of root fields with a name and a value, in their order."""
+    some = fields.where("is_root and name <> '' and value is not null")
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("field_ord", "name", "value"))), lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value")))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fdf([(p["name"], p["value"]) for p in row]) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["file_id", "fdf"])
+
+    kind = fields.schema["file_id"].dataType.simpleString()
+    return some.groupBy("file_id").agg(pairs.alias("pairs")).mapInArrow(emit, f"file_id {kind}, fdf binary")
+
+
+def import_fdf(files: DataFrame) -> DataFrame:
+    """``file_id, name, value`` of ``file_id, fdf``; of fields of one name the last counts."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pairs = dict(parse_fdf(batch.column(1)[i].as_py() or b""))
+                own = batch.column(0).take(pa.array([i] * len(pairs), pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, pa.array(pairs.keys(), pa.string()), pa.array(pairs.values(), pa.string())], ["file_id", "name", "value"])
+
+    kind = files.schema["file_id"].dataType.simpleString()
+    return files.select("file_id", "fdf").mapInArrow(emit, f"file_id {kind}, name string, value string")
+
+
+def xfa_packet(packets: DataFrame, name: str) -> DataFrame:
+    """``file_id, xml`` of the first packet of a name, whatever its case."""
+    return packets.where(F.lower("name") == name.lower()).groupBy("file_id").agg(F.min_by("xml", "ord").alias("xml"))
+
+
+def xfa_document(packets: DataFrame) -> DataFrame:
+    """``file_id, xml``: all packets in their order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "xml"))), lambda p: p["xml"])
+    return packets.groupBy("file_id").agg(F.array_join(ordered, "").alias("xml"))
+
+
 def parse_fdf(data: bytes) -> list[tuple[str, str]]:
     """Field names and values of an FDF file, names of nested fields joined by dots."""
     m = re.search(rb"obj\b", data)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The padding of passwords, and the bits of /P.
-PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
+from folioframe.functions.crypt import PAD, authenticate, encryption, file_key, object_key, owner_entry, rc4, user_entry  # noqa: F401
+from folioframe.functions.cos import Ref, Stream
+from folioframe.functions.document import load
+from folioframe.functions.writing import write_file
+from folioframe.operators.writers import _rewritten, each_content
+
+# The bits of /P.
 PERMISSIONS = {"print": 2, "modify": 3, "copy": 4, "annotate": 5, "fill_forms": 8, "accessibility": 9, "assemble": 10, "print_high": 11}
 
 
@@ -46,71 +53,6 @@ def little_endian(p: Column) -> Column:
     return F.unhex(F.concat(*[F.substring(word, i, 2) for i in (7, 5, 3, 1)]))
 
 
-def rc4(key: bytes, data: bytes) -> bytes:
-    state, j = list(range(256)), 0
-    for i in range(256):
-        j = (j + state[i] + key[i % len(key)]) & 255
-        state[i], state[j] = state[j], state[i]
-    out, i, j = bytearray(), 0, 0
-    for c in data:
-        i = (i + 1) & 255
-        j = (j + state[i]) & 255
-        state[i], state[j] = state[j], state[i]
-        out.append(c ^ state[(state[i] + state[j]) & 255])
-    return bytes(out)
-
-
-def file_key(password: bytes, owner: bytes, p: int, file_id: bytes, revision: int, length: int) -> bytes:
-    digest = hashlib.md5((password + PAD)[:32] + owner[:32] + (p & 0xFFFFFFFF).to_bytes(4, "little") + file_id).digest()
-    for _ in range(50 if revision >= 3 else 0):
-        digest = hashlib.md5(digest[:length]).digest()
-    return digest[:length]
-
-
-def user_entry(key: bytes, file_id: bytes, revision: int) -> bytes:
-    """``/U``; from revision 3 on of MD5(PAD, id), padded to 32 bytes (B9)."""
-    if revision == 2:
-        return rc4(key, PAD)
-    value = rc4(key, hashlib.md5(PAD + file_id).digest())
-    for i in range(1, 20):
-        value = rc4(bytes(b ^ i for b in key), value)
-    return value + bytes(16)
-
-
-def _owner_key(password: bytes, revision: int, length: int) -> bytes:
-    digest = hashlib.md5((password + PAD)[:32]).digest()
-    for _ in range(50 if revision >= 3 else 0):
-        digest = hashlib.md5(digest[:length]).digest()
-    return digest[:length]
-
-
-def owner_entry(owner_password: bytes, user_password: bytes, revision: int, length: int) -> bytes:
-    key, value = _owner_key(owner_password, revision, length), (user_password + PAD)[:32]
-    for i in range(20 if revision >= 3 else 1):
-        value = rc4(bytes(b ^ i for b in key), value)
-    return value
-
-
-def authenticate(password: bytes, owner: bytes, user: bytes, p: int, file_id: bytes, revision: int, length: int) -> tuple[str | None, bytes | None]:
-    """``user`` or ``owner`` and the file key, or nothing."""
-    for role in ("user", "owner"):
-        word = password
-        if role == "owner":
-            key, word = _owner_key(password, revision, length), owner
-            for i in reversed(range(20 if revision >= 3 else 1)):
-                word = rc4(bytes(b ^ i for b in key), word)
-        key = file_key(word, owner, p, file_id, revision, length)
-        n = 32 if revision == 2 else 16
-        if user_entry(key, file_id, revision)[:n] == user[:n]:
-            return role, key
-    return None, None
-
-
-def object_key(key: bytes, num: int, gen: int, aes: bool = False) -> bytes:
-    salted = key + num.to_bytes(3, "little") + gen.to_bytes(2, "little") + (b"sAlT" if aes else b"")
-    return hashlib.md5(salted).digest()[: min(16, len(key) + 5)]
-
-
 def decrypt_streams(objects: DataFrame, keys: DataFrame) -> DataFrame:
     """``objects`` with ``raw`` decrypted by ``keys`` (``file_id, key, method``: V2 by RC4, AESV2 by Spark's AES-CBC)."""
     salted = lambda salt: F.substring(
@@ -118,7 +60,12 @@ def decrypt_streams(objects: DataFrame, keys: DataFrame) -> DataFrame:
         1,
         16,
     )
-    rc4_udf = F.udf(lambda k, d, n: rc4(bytes(k)[: min(16, n + 5)], bytes(d)) if None not in (k, d) else None, "binary")
+
+    @F.arrow_udf("binary")
+    def rc4_udf(k: pa.Array, d: pa.Array, n: pa.Array) -> pa.Array:
+        rows = zip(k.to_pylist(), d.to_pylist(), n.to_pylist(), strict=True)
+        return pa.array([rc4(a[: min(16, c + 5)], b) if None not in (a, b) else None for a, b, c in rows], pa.binary())
+
     joined = objects.join(keys, "file_id", "left")
     by_rc4 = rc4_udf(salted([]), "raw", F.octet_length("key"))
     by_aes = F.try_aes_decrypt("raw", salted([F.lit(b"sAlT")]), F.lit("CBC"), F.lit("PKCS"))
@@ -126,6 +73,36 @@ def decrypt_streams(objects: DataFrame, keys: DataFrame) -> DataFrame:
     return joined.withColumn("raw", raw).drop("key", "method")
 
 
+def decrypted(files: DataFrame, password: str = "") -> DataFrame:
+    """Files without encryption, as the user or the owner opens them; content is null where the password opens nothing."""
+
+    def change(key: Any, content: bytes) -> Iterator[tuple[Any, bytes]]:
+        yield key, _rewritten(load(content, password=password.encode("latin-1", "replace")), {})
+
+    return each_content(files, change)
+
+
+def encrypted(files: DataFrame, method: str, user_password: str = "", owner_password: str = "", p: int = -4) -> DataFrame:
+    """Files encrypted by ``RC4-40``, ``RC4-128`` or ``AES-128``, with permissions ``p``; other cross-reference forms become a table."""
+
+    def change(key: Any, content: bytes) -> Iterator[tuple[Any, bytes]]:
+        yield key, encrypted_file(content, method, user_password, owner_password, p)
+
+    return each_content(files, change)
+
+
+def encrypted_file(content: bytes, method: str, user_password: str = "", owner_password: str = "", p: int = -4) -> bytes:
+    pdf = load(content)
+    ids = pdf.resolve(pdf.trailer.get("ID"))
+    file_id = bytes(ids[0]) if isinstance(ids, list) and ids and isinstance(ids[0], bytes) else b"folioframe-16-id"
+    words = [w.encode("latin-1", "replace") for w in (user_password, owner_password or user_password)]
+    crypt, head = encryption(method, *words, p, file_id)
+    objects = {r: crypt.changed(r, v, False) for r, v, _ in pdf.all_objects() if not (isinstance(v, Stream) and v.dict.get("Type") in ("XRef", "ObjStm"))}
+    own = Ref(max((r.num for r in objects), default=0) + 1, 0)
+    keep = {k: pdf.trailer[k] for k in ("Root", "Info") if k in pdf.trailer}
+    return write_file(objects | {own: head}, keep | {"ID": [file_id, file_id], "Encrypt": own}, pdf.version or "1.7")
+
+
 # ---- signatures ----
 
 

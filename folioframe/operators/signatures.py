@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.cos import Ref
-from folioframe.functions.der import chain, cms_info
+from folioframe.functions.der import chain, cms_info, verified
 from folioframe.functions.document import Pdf
 from folioframe.operators.security import byte_range_warnings, contents_misplaced
 from folioframe.sources.pdf import each_file, opened, text_string
 
 _COLUMNS = (
     "obj_num long, field_name string, sub_filter string, byte_range array<long>, reason string, signed_at string, digest_match boolean, signature_ok boolean, "
-    "signing_time timestamp, has_timestamp boolean, subjects array<string>, issuers array<string>, not_before timestamp, not_after timestamp, "
+    "signing_time timestamp, has_timestamp boolean, subjects array<string>, issuers array<string>, chain_ok boolean, not_before timestamp, not_after timestamp, "
     "mdp_level int, dss_crls int, dss_ocsps int, dss_certs int"
 )
 
@@ -68,19 +68,22 @@ def signatures(files: DataFrame) -> DataFrame:
             if cms and cms.digest_name and cms.message_digest is not None and len(spans) == 4:
                 covered = b"".join(content[o : o + n] for o, n in zip(spans[::2], spans[1::2], strict=True))
                 match = hashlib.new(cms.digest_name, covered).digest() == cms.message_digest
-            path = chain(cms.certificates, cms.certificates[0]) if cms and cms.certificates else []
-            leaf = path[0] if path else None
+            leaf = cms.own if cms else None  # expiry and trust are the signer's
+            path = chain(cms.certificates, leaf) if leaf else []
             yield (
                 ref.num, name, str(sig["SubFilter"]) if "SubFilter" in sig else None, spans, text_string(pdf.resolve(sig.get("Reason"))), text_string(pdf.resolve(sig.get("M"))),
                 match, cms.signature_ok if cms else None, cms.signing_time if cms else None, bool(cms and cms.has_timestamp),
-                [c.subject for c in path], [c.issuer for c in path], leaf.not_before if leaf else None, leaf.not_after if leaf else None, mdp_level(pdf, sig), *counts,
+                [c.subject for c in path], [c.issuer for c in path], verified(path) if path else None, leaf.not_before if leaf else None, leaf.not_after if leaf else None, mdp_level(pdf, sig), *counts,
             )
 
     return each_file(files, rows, _COLUMNS)
 
 
 def judged(found: DataFrame, files: DataFrame, trusted: list[str], now: datetime) -> DataFrame:
-    """Signatures with structural warnings, trust by a list of name parts, expiry at ``now``, and long-term validity."""
+    """Signatures with structural warnings, trust by a list of name parts, expiry at ``now``, and long-term validity.
+
+    ``trusted`` goes by the names in the chain alone; ``trust_verified`` asks for its signatures too.
+    """
     joined = found.join(files.select("file_id", "content"), "file_id")
     spans, content = F.col("byte_range"), F.col("content")
     parts = F.array(*[F.lit(t.lower()) for t in trusted]).cast("array<string>")
@@ -91,6 +94,7 @@ def judged(found: DataFrame, files: DataFrame, trusted: list[str], now: datetime
         byte_range_warnings(content, spans).alias("usf_warnings"),
         contents_misplaced(content, spans).alias("swa_suspect"),
         known.alias("trusted"),
+        (known & F.coalesce("chain_ok", F.lit(False)) & F.coalesce("signature_ok", F.lit(False)) & F.coalesce("digest_match", F.lit(False))).alias("trust_verified"),
         expired.alias("expired"),
         (((F.col("dss_crls") + F.col("dss_ocsps")) > 0) & F.col("has_timestamp")).alias("ltv"),
     )
@@ -101,3 +105,23 @@ def revision_of_signature(found: DataFrame, revisions: DataFrame) -> DataFrame:
     covered = found.where(F.size("byte_range") == 4).select("file_id", "obj_num", (F.col("byte_range")[2] + F.col("byte_range")[3]).alias("covered"))
     joined = covered.join(revisions, "file_id").where(F.col("end") >= F.col("covered"))
     return joined.groupBy("file_id", "obj_num").agg(F.min("end").alias("revision_end"), F.min_by("revision", "end").alias("revision"))
+
+
+def mdp_compliance(found: DataFrame, changes: DataFrame) -> DataFrame:
+    """``file_id, obj_num, mdp_level, compliant``: whether what came after a certification is allowed at its level.
+
+    ``changes``: classified changes since the signed revision (``file_id, verdict, type,
+    subtype``). Level 1 allows none but what later signatures add, level 2 form filling too,
+    level 3 annotations as well.
+    """
+    kind = F.coalesce("subtype", "type", F.lit(""))
+    signing = F.coalesce(F.col("type").isin("Sig", "DSS", "VRI", "XRef", "ObjStm"), F.lit(False))
+    needs = F.when(signing, 1).when((F.col("verdict") == "permitted") | (kind == "Widget"), 2).when(F.coalesce(F.col("type") == "Annot", F.lit(False)), 3).otherwise(4)
+    worst = changes.groupBy("file_id").agg(F.max(needs).alias("needs"))
+    joined = found.where("mdp_level is not null").join(worst, "file_id", "left")
+    return joined.select("file_id", "obj_num", "mdp_level", (F.coalesce("needs", F.lit(1)) <= F.col("mdp_level")).alias("compliant"))
+
+
+def vri_key(contents: Column) -> Column:
+    """The name under which a document security store keeps what validates a signature: the SHA-1 of its contents."""
+    return F.upper(F.sha1(contents))

@@ -12,18 +12,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.cos import Name, Ref, Stream, number, renumbered, untagged, write
+from folioframe.functions.crypt import Locked
 from folioframe.functions.document import Page, Pdf, load
 from folioframe.functions.writing import write_file
 
 
 def each_content(files: DataFrame, change: Callable[[Any, bytes], Iterator[tuple[Any, bytes]]]) -> DataFrame:
-    """Files to files: ``change`` yields ids and contents for each file."""
+    """Files to files: ``change`` yields ids and contents for each file.
+
+    What is changed is decrypted; content is null for files that are encrypted and that the
+    password does not open.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column(1)[i].is_valid:
-                    for key, content in change(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
+                    own = batch.column(0)[i].as_py()
+                    try:
+                        made = list(change(own, batch.column(1)[i].as_py()))
+                    except Locked:
+                        made = [(own, None)]
+                    for key, content in made:
                         yield pa.RecordBatch.from_arrays([pa.array([key], batch.column(0).type), pa.array([content], pa.binary())], ["file_id", "content"])
 
     schema = files.select("file_id", "content").schema
@@ -77,6 +87,8 @@ def update_offsets(sizes: DataFrame) -> DataFrame:
 
 def subset(pdf: Pdf, wanted: list[Page]) -> bytes:
     """A file with these pages, in this order, repeats allowed: what they lead to is copied and renumbered (B8)."""
+    if pdf.locked:
+        raise Locked("encrypted, and not opened by the password")
     new: dict[Ref, Ref] = {}
     objects: dict[Ref, Any] = {}
     todo: list[Ref] = []
@@ -123,7 +135,7 @@ def extract_pages(files: DataFrame, indices: list[int]) -> DataFrame:
 
 
 def split_every(files: DataFrame, n: int) -> DataFrame:
-    """``file_id, part, content``: files of ``n`` pages, the last with the rest."""
+    """``file_id, part, content``: files of ``n`` pages, the last with the rest; none of a file that the empty password does not open."""
     if n < 1:
         raise ValueError("n must be positive")
     kind = files.schema["file_id"].dataType.simpleString()
@@ -132,7 +144,7 @@ def split_every(files: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 pdf = load(batch.column(1)[i].as_py())
-                pages = pdf.pages()
+                pages = [] if pdf.locked else pdf.pages()
                 for part, at in enumerate(range(0, len(pages), n)):
                     content = subset(pdf, pages[at : at + n])
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([part], pa.int32()), pa.array([content], pa.binary())], ["file_id", "part", "content"])
@@ -173,8 +185,16 @@ def merge_files(files: DataFrame, group: Column, order: Column) -> DataFrame:
     return rows.groupBy("file_id").applyInArrow(build, f"file_id {kind}, content binary")
 
 
+def plain_objects(pdf: Pdf) -> dict[Ref, Any]:
+    """All objects of a file that has none of its own form: no cross-reference or object streams, and no encryption."""
+    if pdf.locked:
+        raise Locked("encrypted, and not opened by the password")
+    held = ("XRef", "ObjStm")
+    return {r: v for r, v, _ in pdf.all_objects() if r.num != pdf.closed and not (isinstance(v, Stream) and v.dict.get("Type") in held)}
+
+
 def _rewritten(pdf: Pdf, changes: dict[Ref, Any]) -> bytes:
-    objects = {ref: v for ref, v, _ in pdf.all_objects() if not (isinstance(v, Stream) and v.dict.get("Type") in ("XRef", "ObjStm"))}
+    objects = plain_objects(pdf)
     keep = {k: pdf.trailer[k] for k in ("Root", "Info", "ID") if k in pdf.trailer}
     return write_file(objects | changes, keep, pdf.version or "1.7")
 
@@ -317,3 +337,51 @@ def estimated_size(value: Any) -> int:
 
 def real(value: Any) -> float:
     return number(value) or 0.0
+
+
+# ---- information ----
+
+
+def pdf_date(at: Column) -> Column:
+    """A timestamp as a PDF date, in universal time."""
+    return F.concat(F.lit("D:"), F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyyMMddHHmmss"), F.lit("+00'00'"))
+
+
+def set_info(files: DataFrame, values: DataFrame) -> DataFrame:
+    """Files with entries of the information dictionary set or, where the value is null, removed (``file_id, key, value``)."""
+    pairs = F.map_from_entries(F.collect_list(F.struct("key", "value")))
+    by_file = values.groupBy("file_id").agg(F.to_json(pairs, {"ignoreNullFields": "false"}).alias("values"))
+    joined = files.join(by_file, "file_id").select("file_id", F.concat(F.encode("values", "UTF-8"), F.lit(b"\0"), "content").alias("content"))
+
+    def change(key: Any, content: bytes) -> Iterator[tuple[Any, bytes]]:
+        new, _, body = content.partition(b"\0")
+        pdf = load(body)
+        ref = pdf.trailer.get("Info")
+        old = pdf.resolve(ref)
+        if not isinstance(ref, Ref):
+            ref = Ref(max((r.num for r in plain_objects(pdf)), default=0) + 1, 0)
+            pdf.trailer["Info"] = ref
+        entries = dict(old) if isinstance(old, dict) else {}
+        for k, v in json.loads(new).items():
+            entries.pop(k, None)
+            if v is not None:
+                entries[k] = text_bytes(v)
+        yield key, _rewritten(pdf, {ref: entries})
+
+    return each_content(joined, change)
+
+
+def text_bytes(text: str) -> bytes:
+    """A text string: the document encoding where it is ASCII, else UTF-16 with its mark."""
+    return text.encode("ascii") if text.isascii() else b"\xfe\xff" + text.encode("utf-16-be")
+
+
+def anchor_rectangle(chunks: DataFrame, tag: str, width: float, height: float, in_front: bool = False) -> DataFrame:
+    """``file_id, page_index, x0, y0, x1, y1``: where a field of this size stands that is anchored to the first chunk with ``tag``.
+
+    It begins where the chunk does, or in front at the larger of 8 points and the font's size further right.
+    """
+    first = chunks.where(F.contains("text", F.lit(tag))).groupBy("file_id")
+    first = first.agg(F.min_by(F.struct("page_index", "x", "y", "font_size"), F.struct("page_index", "seq")).alias("c"))
+    x = F.col("c.x") + (F.greatest(F.col("c.font_size"), F.lit(8.0)) if in_front else 0.0)
+    return first.select("file_id", "c.page_index", x.alias("x0"), (F.col("c.y") - height).alias("y0"), (x + width).alias("x1"), F.col("c.y").alias("y1"))

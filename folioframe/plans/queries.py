@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import cos, filters
 from folioframe.functions.fonts import FONT_FLAGS
-from folioframe.operators import compression, forms, graph, images, security, text, writers
-from folioframe.sources import corpus, pdf
+from folioframe.operators import compression, forms, graph, images, predicates, security, signatures, text, writers
+from folioframe.sources import corpus, pdf, signing
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -300,12 +300,12 @@ def field_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- metadata, outlines, forms ----
 
 
-@query("SELECT item_id AS file_id, substr(text, 1, 60) AS title, 'author ' || item_id AS author, 'D:20240102030405+00''00''' AS creation_date FROM benchmark")
+@query("SELECT item_id AS file_id, coalesce(text, '') AS title, 'author ' || item_id AS author, 'D:20240102030405+00''00''' AS creation_date FROM benchmark")
 def info_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.doc_info(corpus.test_items(spark, sf_dir)).select("file_id", "title", "author", "creation_date")
 
 
-@query("SELECT item_id AS file_id, substr(text, 1, 40) AS title FROM benchmark")
+@query("SELECT item_id AS file_id, coalesce(text, '') AS title FROM benchmark")
 def xmp_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pdf.doc_info(corpus.test_items(spark, sf_dir))
     return found.select("file_id", F.xpath_string("xmp", F.lit("//*[local-name()='title']//*[local-name()='li']")).alias("title"))
@@ -503,7 +503,16 @@ def usf_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_id", warnings.alias("warnings"), security.contents_misplaced(F.col("content"), F.col("r")).alias("misplaced"))
 
 
-@query()
+def _chained(first: str, rounds: int) -> str:
+    """MD5 of the leading 16 bytes, again and again, over hexadecimal text."""
+    return first if not rounds else f"md5(unhex(substr({_chained(first, rounds - 1)}, 1, 32)))"
+
+
+@query(
+    f"""WITH k AS (SELECT c_custkey, 'user' || c_custkey AS word FROM customer),
+  h AS (SELECT c_custkey, substr(hex(encode(word)) || '{security.PAD.hex().upper()}', 1, 64) || sha256(encode(word)) || 'D4FFFFFF' || hex(encode('0123456789abcdef')) AS seed FROM k)
+SELECT c_custkey, substr(md5(unhex(seed)), 1, 10) AS key_40, substr({_chained("md5(unhex(seed))", 50)}, 1, 32) AS key_128 FROM h"""
+)
 def key_derivation_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File keys of revisions 2 and 3 in SQL (50 chained rounds of MD5); tested against the plain algorithm."""
     keys = corpus.table(spark, sf_dir, "customer").select("c_custkey")
@@ -550,3 +559,109 @@ def overlay_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in ("full", "header", "footer", "top_left", "center", "bottom_right")])).alias("kind"))
     placed = writers.overlay_placement(F.col("kind"), F.lit(600.0), F.lit(800.0))
     return kinds.select("kind", *[F.round(placed[c], 9).alias(c) for c in "xywh"])
+
+
+@query("SELECT s_suppkey AS file_id, s_suppkey % 2 = 0 AS by_anyone, s_name AS title, 'Name ' || s_name AS text FROM supplier")
+def encrypted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RC4 and AES files opened without a password and with one; those that neither opens give no row. What is read is rotated first, so rewrites are readable too."""
+    files = corpus.secrets(spark, sf_dir)
+
+    def shown(opened: DataFrame, by_anyone: bool) -> DataFrame:
+        opened = opened.where("content is not null")
+        words = text.page_text(pdf.text_chunk_table(opened)).select("file_id", "text")
+        return words.join(pdf.doc_info(opened).select("file_id", "title"), "file_id").select("file_id", F.lit(by_anyone).alias("by_anyone"), "title", "text")
+
+    by_all, by_some = writers.rotate_pages(files, 90), security.decrypted(files, "secret")
+    by_some = by_some.join(by_all.where("content is null").select("file_id"), "file_id")
+    return shown(by_all, True).unionByName(shown(by_some, False))
+
+
+@query(
+    """SELECT s_suppkey AS file_id, s_name AS field_name, c <> 5 AS digest_match, c NOT IN (1, 2) AS signature_ok, c <> 3 AS chain_ok, 'CN=' || s_name AS signer,
+  true AS trusted, c NOT IN (1, 2, 3, 5) AS trust_verified, c = 4 AS expired, (1 + s_suppkey % 3)::INTEGER AS mdp_level, 0::INTEGER AS revision,
+  CASE WHEN c = 7 THEN 1 ELSE 0 END::INTEGER AS crls, CASE WHEN c = 7 THEN 2 ELSE 0 END::INTEGER AS certs, false AS ltv, 0::INTEGER AS n_warnings
+FROM (SELECT *, s_suppkey % 8 AS c FROM supplier)"""
+)
+def signature_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed files read again: digests, signatures and chains as they are, forged, expired, changed or added to."""
+    from datetime import datetime
+
+    files = signing.signed(spark, sf_dir)
+    found = signatures.signatures(files)
+    judged = signatures.judged(found, files, ["cn=ROOT"], datetime(2030, 1, 1))
+    placed = signatures.revision_of_signature(found, security.revisions(files)).select("file_id", F.col("revision").cast("int").alias("revision"))
+    return judged.join(placed, "file_id").select(
+        "file_id", "field_name", "digest_match", "signature_ok", "chain_ok", F.col("subjects")[0].alias("signer"), "trusted", "trust_verified", "expired",
+        "mdp_level", "revision", F.col("dss_crls").alias("crls"), F.col("dss_certs").alias("certs"), "ltv", F.size("usf_warnings").alias("n_warnings"),
+    )
+
+
+@query(
+    PAGED
+    + """ SELECT doc_id AS file_id, page_index::INTEGER AS page_index, string_agg(substr(flat, (page_index * 40 + n) * 80 + 1, 80), chr(10) ORDER BY n) AS text
+FROM p, range(0, 40) t(n) WHERE page_index * 40 + n < n_lines GROUP BY ALL"""
+)
+def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.layout_text(pdf.text_chunk_table(corpus.documents(spark, sf_dir))).select("file_id", "page_index", "text")
+
+
+@query(LAID + " SELECT doc_id AS file_id, n_pages AS stamped FROM d")
+def overlay_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document under the pages of another copy of it, as forms."""
+    files = corpus.documents(spark, sf_dir)
+    stamped = writers.overlay(files, files.select("file_id", F.col("content").alias("stamp")), "center")
+    drawn = pdf.instruction_table(stamped).where(predicates.is_operator("do")).where(F.contains(F.col("operands")[0], F.lit("FxOv")))
+    return drawn.groupBy("file_id").agg(F.count_distinct("page_index").alias("stamped"))
+
+
+@query(f"SELECT file_id, name, latest::VARCHAR AS value FROM ({LATEST})")
+def fdf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.import_fdf(forms.export_fdf(pdf.form_fields(corpus.forms(spark, sf_dir))))
+
+
+XFA_DATA = "'<data><name>' || c_name || '</name><n>' || c_custkey || '</n></data>'"
+
+
+@query(f"SELECT c_custkey AS file_id, {XFA_DATA} AS datasets, '<template/>' || {XFA_DATA} AS whole FROM customer")
+def xfa_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = pdf.xfa_packets(corpus.xfa_forms(spark, sf_dir))
+    one = forms.xfa_packet(packets, "DataSets").withColumnRenamed("xml", "datasets")
+    return one.join(forms.xfa_document(packets).withColumnRenamed("xml", "whole"), "file_id")
+
+
+@query("SELECT c_custkey AS file_id, true AS has_acroform, true AS has_xfa, false AS encrypted, false AS can_downgrade FROM customer")
+def document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus.xfa_forms(spark, sf_dir)
+    return predicates.document_flags(pdf.objects(files), pdf.trailers(files))
+
+
+@query(
+    """SELECT p_partkey AS file_id, p_name AS title, NULL::VARCHAR AS author, 'D:20240102' || lpad((p_partkey % 24)::VARCHAR, 2, '0') || '0405+00''00''' AS mod_date,
+  'keep ' || p_type AS subject FROM part"""
+)
+def info_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the information dictionary set, removed and kept."""
+    parts = corpus.table(spark, sf_dir, "part")
+    files = corpus.images(spark, sf_dir)
+    hour = F.lpad(F.pmod("p_partkey", F.lit(24)).cast("string"), 2, "0")
+    at = F.to_timestamp(F.concat(F.lit("2024-01-02 "), hour, F.lit(":04:05")))
+    first = {"Author": F.lit("someone"), "Subject": F.concat(F.lit("keep "), "p_type")}
+    then = {"Title": F.col("p_name"), "Author": F.lit(None).cast("string"), "ModDate": writers.pdf_date(at)}
+    for values in (first, then):
+        pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])).alias("p")
+        files = writers.set_info(files, parts.select(F.col("p_partkey").alias("file_id"), pairs).select("file_id", "p.*"))
+    return pdf.doc_info(files).select("file_id", "title", "author", "mod_date", "subject")
+
+
+@query(
+    LAID
+    + """ SELECT doc_id AS file_id, (n // 40)::INTEGER AS page_index, 50.0::DOUBLE AS x0, (660 - 12 * (n % 40))::DOUBLE AS y0, 150.0::DOUBLE AS x1,
+  (700 - 12 * (n % 40))::DOUBLE AS y1, 60.0::DOUBLE AS front
+FROM (SELECT doc_id, min(n) AS n FROM (SELECT doc_id, flat, unnest(range(0, n_lines)) AS n FROM d) WHERE contains(substr(flat, n * 80 + 1, 80), 'th') GROUP BY doc_id)"""
+)
+def anchor_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a field anchored to the first text with a tag stands, over it and in front of it."""
+    chunks = pdf.text_chunk_table(corpus.documents(spark, sf_dir))
+    over = writers.anchor_rectangle(chunks, "th", 100.0, 40.0)
+    front = writers.anchor_rectangle(chunks, "th", 100.0, 40.0, True).select("file_id", F.col("x0").alias("front"))
+    return over.join(front, "file_id")

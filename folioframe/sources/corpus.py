@@ -181,8 +181,11 @@ def _simple(extra: dict[Ref, Any], catalog: dict[str, Any], trailer: dict[str, A
 
 def info_pdf(row: dict[str, Any]) -> bytes:
     text = row["text"] or ""
-    title = text[:60].encode("cp1252", "ignore") if row["item_id"] % 2 else b"\xfe\xff" + text[:60].encode("utf-16-be")
-    escaped = text[:40].replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    try:
+        title = text.encode("cp1252") if row["item_id"] % 2 else b"\xfe\xff" + text.encode("utf-16-be")
+    except UnicodeEncodeError:
+        title = b"\xfe\xff" + text.encode("utf-16-be")
+    escaped = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     xmp = (
         '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description '
         'xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title><rdf:Alt><rdf:li xml:lang="x-default">'
@@ -330,3 +333,38 @@ def revised_pdf(row: dict[str, Any]) -> bytes:
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), revised_pdf)
+
+
+METHODS = ("RC4-40", "RC4-128", "AES-128")
+
+
+def secret_pdf(row: dict[str, Any]) -> bytes:
+    """A file encrypted by key: with each method, for anyone to read or under a password."""
+    from folioframe.operators.security import encrypted_file
+
+    key, text = row["s_suppkey"], row["s_name"].encode("cp1252", "replace")
+    fonts = {"Font": {"F1": {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")}}}
+    extra = {
+        Ref(3, 0): {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(21, 0), "Resources": fonts},
+        Ref(20, 0): {"Title": text},
+        Ref(21, 0): filtered(b"BT /F1 12 Tf 72 700 Td " + write(b"Name " + text) + b" Tj ET", CHAINS[key % len(CHAINS)]),
+    }
+    data = write_file(*_simple(extra, {}, {"Info": Ref(20, 0)}), xref="stream" if key % 5 == 0 else "table", packed=key % 5 == 0)
+    return encrypted_file(data, METHODS[key % 3], "secret" if key % 2 else "", "owner", -44)
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), secret_pdf)
+
+
+def xfa_pdf(row: dict[str, Any]) -> bytes:
+    key = row["c_custkey"]
+    data = f"<data><name>{row['c_name']}</name><n>{key}</n></data>"
+    extra = {Ref(20, 0): filtered(b"<template/>", ["FlateDecode"]), Ref(21, 0): filtered(data.encode(), CHAINS[key % len(CHAINS)])}
+    xfa = [b"template", Ref(20, 0), b"Datasets" if key % 2 else b"datasets", Ref(21, 0)]
+    return write_file(*_simple(extra, {"AcroForm": {"Fields": [], "XFA": xfa}}))
+
+
+def xfa_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One PDF with an XFA form for each customer."""
+    return built(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), xfa_pdf)
