@@ -184,3 +184,40 @@ def text_chunks(data: bytes, fonts: dict[str, Font]) -> list[Chunk]:
             show(bytes(joined))
             text = multiply((1, 0, 0, 1, -pending / 1000 * state.size * state.scale / 100, 0), text)
     return out
+
+
+def drawn_widths(data: bytes) -> list[tuple[str, float | None]]:
+    """Names that ``Do`` draws, with the width in points that the current matrix gives a unit (None without one)."""
+    out: list[tuple[str, float | None]] = []
+    stack: list[Matrix | None] = []
+    ctm: Matrix | None = None
+    for i in instructions(data):
+        if i.op == "q":
+            stack.append(ctm)
+        elif i.op == "Q":
+            ctm = stack.pop() if stack else ctm
+        elif i.op == "cm" and (n := _numbers(i.operands, 6)):
+            ctm = multiply(tuple(n), ctm or IDENTITY)
+        elif i.op == "Do" and i.operands and isinstance(i.operands[0], Name):
+            out.append((str(i.operands[0]), math.hypot(ctm[0], ctm[1]) if ctm else None))
+    return out
+
+
+def shown_codes(data: bytes, fonts: dict[str, Font]) -> dict[tuple[str, int], int]:
+    """How often each code of each font is shown; strings without a font that is there are left out."""
+    out: dict[tuple[str, int], int] = {}
+    stack: list[str | None] = []
+    current: str | None = None
+    for i in instructions(data):
+        if i.op == "q":
+            stack.append(current)
+        elif i.op == "Q":
+            current = stack.pop() if stack else current
+        elif i.op == "Tf" and i.operands and isinstance(i.operands[0], Name):
+            current = str(i.operands[0])
+        elif i.op in ("Tj", "'", '"', "TJ") and i.operands and current in fonts:
+            last = i.operands[-1]
+            for part in last if isinstance(last, list) else [last]:
+                for code, _ in fonts[current].codes(part) if isinstance(part, bytes) else ():
+                    out[current, code] = out.get((current, code), 0) + 1
+    return out

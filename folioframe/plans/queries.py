@@ -665,3 +665,33 @@ def anchor_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = writers.anchor_rectangle(chunks, "th", 100.0, 40.0)
     front = writers.anchor_rectangle(chunks, "th", 100.0, 40.0, True).select("file_id", F.col("x0").alias("front"))
     return over.join(front, "file_id")
+
+
+@query(
+    """SELECT p_partkey AS file_id, v.obj_num::BIGINT AS obj_num, v.space AS color_space, v.alpha AS alpha, v.channels::INTEGER AS png_kind,
+  CASE WHEN v.obj_num IN (50, 52) THEN false ELSE true END AS gray
+FROM part, (VALUES (50, 'DeviceRGB', true, 6), (51, 'ICCBased', false, 2), (52, 'Indexed', false, 2), (53, 'DeviceRGB', false, 2), (54, 'DeviceGray', false, 0)) v(obj_num, space, alpha, channels)"""
+)
+def image_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with soft masks, profiles and palettes, exported; the kind of a PNG is the byte that names its channels."""
+    found = images.image_table(pdf.objects(corpus.layered_images(spark, sf_dir)))
+    kind = F.conv(F.hex(F.substring("png", 26, 1)), 16, 10).cast("int")
+    return found.select("file_id", "obj_num", "color_space", "alpha", kind.alias("png_kind"), "gray")
+
+
+@query(
+    """SELECT p_partkey AS file_id, greatest(1, CASE WHEN dpi > 10 THEN floor(w * 10 / dpi + 0.5) ELSE w END)::INTEGER AS width,
+  greatest(1, CASE WHEN dpi > 10 THEN floor(h * 10 / dpi + 0.5) ELSE h END)::INTEGER AS height
+FROM (SELECT p_partkey, 8 + p_partkey % 40 AS w, 2 + p_size % 5 AS h, (8 + p_partkey % 40)::DOUBLE / ((72 * (1 + p_partkey % 3))::DOUBLE / 72) AS dpi FROM part)"""
+)
+def image_downscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images scaled down to 10 dots an inch, by how they are shown, written and read again."""
+    files = compression.compress(corpus.images(spark, sf_dir), compression.Options(image_dpi=10, fonts=True))
+    return images.image_table(pdf.objects(files)).where("obj_num = 50").select("file_id", "width", "height")
+
+
+@query(LAID + " SELECT doc_id AS file_id, len(list_distinct(string_split(flat, '')))::BIGINT AS n_codes, length(flat)::BIGINT AS n_shown FROM d WHERE length(flat) > 0")
+def glyph_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which codes of its font each document shows, and how often."""
+    found = pdf.glyph_usage(corpus.documents(spark, sf_dir)).groupBy("file_id")
+    return found.agg(F.count_distinct("code").alias("n_codes"), F.sum("n").alias("n_shown"))

@@ -368,3 +368,25 @@ def xfa_pdf(row: dict[str, Any]) -> bytes:
 def xfa_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One PDF with an XFA form for each customer."""
     return built(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), xfa_pdf)
+
+
+def layered_pdf(row: dict[str, Any]) -> bytes:
+    """Images with what they refer to: a soft mask, a colour profile of four components, a palette, and one that looks gray."""
+    key = row["p_partkey"]
+    width, height = 4 + key % 5, 3
+    n = width * height
+    head = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height, "BitsPerComponent": 8}
+    rgb = bytes((key + 60 * i) % 256 for i in range(3 * n))
+    extra = {
+        Ref(50, 0): filtered(rgb, ["FlateDecode"], head | {"ColorSpace": Name("DeviceRGB"), "SMask": Ref(54, 0)}),
+        Ref(51, 0): filtered(bytes([0, 0, 0, key % 256]) * n, [], head | {"ColorSpace": [Name("ICCBased"), Ref(55, 0)]}),
+        Ref(52, 0): filtered(bytes(i % 2 for i in range(n)), [], head | {"ColorSpace": [Name("Indexed"), Name("DeviceRGB"), 1, Hex(bytes([1, 2, 3, 200, 100, 0]))]}),
+        Ref(53, 0): filtered(bytes([key % 256] * 3) * n, [], head | {"ColorSpace": Name("DeviceRGB")}),
+        Ref(54, 0): filtered(bytes(i % 256 for i in range(n)), ["FlateDecode"], head | {"ColorSpace": Name("DeviceGray")}),
+        Ref(55, 0): filtered(b"profile", [], {"N": 4}),
+    }
+    return write_file(*_simple(extra, {"PieceInfo": {"Images": [Ref(50 + i, 0) for i in range(4)]}}))
+
+
+def layered_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(table(spark, sf_dir, "part").select("p_partkey"), layered_pdf)

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from folioframe.functions.content import instructions, text_chunks
+from folioframe.functions.content import instructions, shown_codes, text_chunks
 from folioframe.functions.cos import ParseError, Ref, Stream, kind, number, references, tagged
 from folioframe.functions.document import HEADER_REACH, Page, Pdf, load
 from folioframe.functions.filters import FilterError, names
 from folioframe.functions.fonts import Font, read_font
 
 MOST_BYTES = 1 << 30  # of one file; larger ones are reported, not parsed
-_BATCH_ROWS = 2000
+_BATCH_ROWS, _BATCH_BYTES = 2000, 16 << 20  # of an Arrow batch that a parse emits
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf", most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -57,6 +57,7 @@ def each_file(files: DataFrame, rows: Callable[[Any, bytes], Iterator[tuple]], s
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 content = batch.column(1)[i].as_py()
@@ -65,9 +66,10 @@ def each_file(files: DataFrame, rows: Callable[[Any, bytes], Iterator[tuple]], s
                 file_id = batch.column(0)[i].as_py()
                 for row in rows(file_id, content):
                     held.append((file_id, *row))
-                    if len(held) >= _BATCH_ROWS:
+                    size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+                    if len(held) >= _BATCH_ROWS or size >= _BATCH_BYTES:
                         yield batch_of(held)
-                        held = []
+                        held, size = [], 0
         if held:
             yield batch_of(held)
 
@@ -214,6 +216,20 @@ def font_table(files: DataFrame, lenient: bool = False) -> DataFrame:
     return each_file(files, rows, "page_index int, font_res string, base_font string, subtype string, ros string, widths map<int, double>, missing_width double, to_unicode map<int, string>")
 
 
+def glyph_usage(files: DataFrame, lenient: bool = False) -> DataFrame:
+    """``page_index, font_res, base_font, code, n``: how often pages show each code of each font."""
+
+    def rows(_: Any, content: bytes) -> Iterator[tuple]:
+        pdf = opened(content, lenient)
+        known: dict[int, Font] = {}
+        for page in pdf.pages() if pdf else []:
+            fonts = page_fonts(pdf, page, known)
+            for (name, code), n in shown_codes(pdf.content(page), fonts).items():
+                yield (page.index, name, fonts[name].name, code, n)
+
+    return each_file(files, rows, "page_index int, font_res string, base_font string, code int, n int")
+
+
 def recovery(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row a file: how it loads, strictly and leniently. Never fails. Files that ``read_files`` left unread are too large."""
 
