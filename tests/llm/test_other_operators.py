@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -143,6 +144,15 @@ def test_embeddings(spark, sf, pivots):
 
 
 SHOWN = [
+    ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p>no</div>", "yes"),
+    ("<details><summary>S</summary>hidden</details>x", "S\nx"),
+    ("<details open><summary>S</summary>shown</details>", "S\nshown"),
+    ("<object>fallback</object>", "fallback"),
+    ("<table><tr><td colspan=2>wide heading<td>c<tr><td>a<td>b<td>c2</table>", "wide heading  c\na  b          c2"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ("<ul><li><ul><li>x</ul>y</ul>", "- - x\n  y"),
+    ("<ul style='visibility:hidden'><li>no</ul>z", "z"),
+    ("<a href=\"x>y\">z</a><b title=it's>k</b>", "zk"),
     ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> b", "a x=1 b"),
     ("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>One</text><text>Two</text></svg>after", "One\nTwo\nafter"),
     ("<select><option>no<option selected>yes<option>no</select>", "yes"),
@@ -162,3 +172,23 @@ SHOWN = [
 @pytest.mark.parametrize("page,want", SHOWN)
 def test_rendering_shows_what_browsers_show(page, want):
     assert extract_text(page) == want
+
+
+def test_text_areas_show_if_asked_for():
+    assert extract_text("a <textarea>v <b>t</textarea> b", True) == "a\nv <b>t\nb"
+
+
+HOSTILE = ["<a ", "<a b='", "<div>", "<p><button><div>", "<ul><li>", "<ul><li>y", "<table><tr><td>z", "<select><option>", "<details><summary>", "<!--", "<tr><td colspan=1000 rowspan=9999>a<td>b", "&amp"]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_rendering_time_is_linear(part):
+    """Twice the page takes about twice the time, and its text is no longer than levels of indents allow."""
+    took = []
+    for size in (100_000, 400_000):
+        page = "<table>" * part.startswith("<tr") + part * (size // len(part)) + ">x"
+        began = time.process_time()
+        out = extract_text(page)
+        took.append(time.process_time() - began)
+        assert len(out) <= 50 * len(page)
+    assert took[1] < 12 * took[0] + 0.5
