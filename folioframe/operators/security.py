@@ -154,7 +154,7 @@ def revisions(files: DataFrame) -> DataFrame:
 
 def revision_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """``file_id, obj_num, change``: a full outer join of two revisions' objects (added, deleted, modified)."""
-    key = F.sha2(F.concat_ws("|", "kind", "value", F.coalesce(F.hex("raw"), F.lit(""))), 256)
+    key = F.sha2(F.concat_ws("|", "kind", "value", F.coalesce(F.sha2("raw", 256), F.lit(""))), 256)
     old = before.select("file_id", "obj_num", key.alias("old"), F.col("type").alias("old_type"))
     new = after.select("file_id", "obj_num", key.alias("new"), "type", "subtype")
     joined = old.join(new, ["file_id", "obj_num"], "full_outer")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,18 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
 
 
+def through(kind: str, change: Callable) -> Callable:
+    """An Arrow UDF out of a function of plain values; nulls stay null."""
+    arrow = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}[kind]
+
+    @F.arrow_udf(kind)
+    def batch(*columns: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in columns), strict=True)
+        return pa.array([None if None in r else change(*r) for r in rows], arrow)
+
+    return batch
+
+
 # ---- scans ----
 
 
@@ -243,7 +256,7 @@ def filter_chain_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hex_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ASCIIHex written and read: the reader in SQL, the writer in Python."""
     docs = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
-    coded = docs.withColumn("coded", F.udf(lambda b: filters.ascii_hex_encode(bytes(b)), "binary")("raw"))
+    coded = docs.withColumn("coded", through("binary", filters.ascii_hex_encode)("raw"))
     back = F.unhex(F.replace(F.decode("coded", "ISO-8859-1"), F.lit(">"), F.lit("")))
     return coded.select("file_id", F.sha2(back, 256).alias("sha"), F.octet_length(back).alias("n_bytes"))
 
@@ -252,7 +265,7 @@ def hex_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def string_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as PDF strings: escaped, parsed, decoded as Latin-1 without control characters."""
     docs = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("text"))
-    through = F.udf(lambda t: cos.parse(cos.write(t.encode("latin-1", "replace")))[0], "binary")
+    through = through("binary", lambda t: cos.parse(cos.write(t.encode("latin-1", "replace")))[0])
     plain = F.regexp_replace(F.decode(through("text"), "ISO-8859-1"), r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
     return docs.select("file_id", plain.alias("text"))
 
@@ -260,8 +273,8 @@ def string_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_name AS name, '/' || replace(replace(replace(p_name, '#', '#23'), ' ', '#20'), '/', '#2F') AS written FROM part")
 def name_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = corpus.table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    written = F.udf(lambda n: cos.write(cos.Name(n)).decode("latin-1"), "string")
-    back = F.udf(lambda w: str(cos.parse(w.encode("latin-1"))[0]), "string")
+    written = through("string", lambda n: cos.write(cos.Name(n)).decode("latin-1"))
+    back = through("string", lambda w: str(cos.parse(w.encode("latin-1"))[0]))
     return parts.withColumn("written", written("p_name")).select("p_partkey", back("written").alias("name"), "written")
 
 
@@ -274,14 +287,14 @@ def name_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def permission_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``/P`` in a trailer dictionary, written and parsed, then read bit by bit."""
-    value = F.udf(lambda k: cos.parse(cos.write({"P": corpus.permission_bits(k)}))[0]["P"], "long")
+    value = through("long", lambda k: cos.parse(cos.write({"P": corpus.permission_bits(k)}))[0]["P"])
     keys = corpus.table(spark, sf_dir, "customer").select("c_custkey").withColumn("p", value("c_custkey"))
     return keys.select("c_custkey", *[c.alias(n) for n, c in security.permission_flags(F.col("p")).items()], security.permission_value(F.col("p")).alias("written"))
 
 
 @query("SELECT p_partkey, " + ", ".join(f"((p_partkey * 37) >> {bit}) & 1 = 1 AS {name}" for name, bit in FONT_FLAGS.items()) + " FROM part")
 def font_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = F.udf(lambda k: cos.parse(cos.write({"Flags": k * 37}))[0]["Flags"], "long")
+    flags = through("long", lambda k: cos.parse(cos.write({"Flags": k * 37}))[0]["Flags"])
     keys = corpus.table(spark, sf_dir, "part").select("p_partkey").withColumn("flags", flags("p_partkey"))
     return keys.select("p_partkey", *[c.alias(n) for n, c in security.flag_columns(F.col("flags"), FONT_FLAGS).items()])
 
@@ -293,7 +306,7 @@ def font_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     ft = F.element_at(F.array(*[F.lit(x) for x in ("Btn", "Ch", "Tx", "Sig")]), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
     keys = corpus.table(spark, sf_dir, "part").select("p_partkey", ft.alias("ft"))
-    kind = F.udf(lambda t, k: pdf.field_kind(t, cos.parse(cos.write({"Ff": k * 4096}))[0]["Ff"]), "string")
+    kind = through("string", lambda t, k: pdf.field_kind(t, cos.parse(cos.write({"Ff": k * 4096}))[0]["Ff"]))
     return keys.select("p_partkey", kind("ft", "p_partkey").alias("kind"))
 
 

@@ -20,9 +20,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from folioframe.functions.content import instructions, shown_codes, text_chunks
-from folioframe.functions.cos import ParseError, Ref, Stream, kind, number, references, tagged
+from folioframe.functions.cos import ParseError, Ref, Stream, kind, number, references, tagged, untagged
 from folioframe.functions.document import HEADER_REACH, Page, Pdf, load
-from folioframe.functions.filters import FilterError, names
+from folioframe.functions.filters import FilterError, decode, names
 from folioframe.functions.fonts import Font, read_font
 
 MOST_BYTES = 1 << 30  # of one file; larger ones are reported, not parsed
@@ -395,17 +395,16 @@ def xfa_packets(files: DataFrame, lenient: bool = False) -> DataFrame:
 def decoded_streams(objects_table: DataFrame) -> DataFrame:
     """``file_id, obj_num, data, failed`` of every stream object."""
 
-    from folioframe.functions.filters import decode
-
-    @F.udf("struct<data: binary, failed: string>")
-    def decoded(raw: bytes, value: str) -> tuple:
-        from folioframe.functions.cos import untagged
-
-        head = untagged(json.loads(value))
-        try:
-            return decode(bytes(raw), head.get("Filter"), head.get("DecodeParms")), None
-        except ValueError as e:
-            return None, str(e)
+    @F.arrow_udf("struct<data: binary, failed: string>")
+    def decoded(raw: pa.Array, value: pa.Array) -> pa.Array:
+        rows = []
+        for r, v in zip(raw.to_pylist(), value.to_pylist(), strict=True):
+            head = untagged(json.loads(v))
+            try:
+                rows.append({"data": decode(r, head.get("Filter"), head.get("DecodeParms")), "failed": None})
+            except ValueError as e:
+                rows.append({"data": None, "failed": str(e)})
+        return pa.array(rows, pa.struct([("data", pa.binary()), ("failed", pa.string())]))
 
     streams = objects_table.where("kind = 'stream'")
     return streams.select("file_id", "obj_num", "type", "subtype", "raw", decoded("raw", "value").alias("d")).select("file_id", "obj_num", "type", "subtype", "raw", "d.*")
