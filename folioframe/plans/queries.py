@@ -265,8 +265,8 @@ def hex_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def string_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as PDF strings: escaped, parsed, decoded as Latin-1 without control characters."""
     docs = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("text"))
-    through = through("binary", lambda t: cos.parse(cos.write(t.encode("latin-1", "replace")))[0])
-    plain = F.regexp_replace(F.decode(through("text"), "ISO-8859-1"), r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
+    coded = through("binary", lambda t: cos.parse(cos.write(t.encode("latin-1", "replace")))[0])
+    plain = F.regexp_replace(F.decode(coded("text"), "ISO-8859-1"), r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
     return docs.select("file_id", plain.alias("text"))
 
 
