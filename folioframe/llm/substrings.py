@@ -39,6 +39,7 @@ from folioframe.llm.scratch import Scratch, cut
 from folioframe.llm.textblocks import Words, as_long, chunks, mix, prefix_sums, sequence_hashes
 
 KGRAM = 16
+CHUNK = 1 << 20  # bytes of text that a task works on at once
 _POSITION_BITS = 28
 
 
@@ -99,7 +100,7 @@ def _runs(window: int, k: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-            for words in chunks(batch.column(2)):
+            for words in chunks(batch.column(2), CHUNK):
                 first, length, offset, anchor = anchored_runs(words, window, k)
                 if not len(first):
                     continue
@@ -135,7 +136,7 @@ def _windows(window: int):
             first = flat.field("first").to_numpy(zero_copy_only=False).astype(np.int64)
             length = flat.field("length").to_numpy(zero_copy_only=False).astype(np.int64)
             anchor = flat.field("anchor").to_numpy(zero_copy_only=False)
-            for words in chunks(batch.column(2)):
+            for words in chunks(batch.column(2), CHUNK):
                 lo, hi = bounds[words.lo], bounds[words.hi]
                 size = np.diff(bounds[words.lo : words.hi + 1])
                 doc = np.repeat(np.arange(words.hi - words.lo), size)
