@@ -336,11 +336,17 @@ def _merge(n: int, bits: int, hot):
     """
 
     def add_up(parts: list) -> list:
-        columns, keys, counts = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
+        """Equal n-grams of the parts added up; each part goes as soon as it is joined to the others."""
+        joined = []
+        for i in range(3):
+            joined.append(np.concatenate([p[i] for p in parts], axis=-1))
+            for p in parts:
+                p[i] = None
+        columns, keys, counts = joined
         order = np.argsort(keys)
         keys = keys[order]
         first, _ = _runs(keys)
-        return [(columns[:, order[first]], keys[first], np.add.reduceat(counts[order], first))]
+        return [[columns[:, order[first]], keys[first], np.add.reduceat(counts[order], first)]]
 
     def entries(table: list, parts: list) -> pa.RecordBatch:
         columns, keys, counts = add_up(parts)[0]
@@ -381,7 +387,7 @@ def _merge(n: int, bits: int, hot):
                 table.append((keys, p))
                 continue
             columns, counts = _unpack_grams(payload, n)
-            parts.append((np.array(columns), gram_keys(columns), counts))
+            parts.append([np.array(columns), gram_keys(columns), counts])
             size += len(counts)
             if size > limit:
                 parts = add_up(parts)
