@@ -412,7 +412,7 @@ def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT o_custkey AS file_id, sum(n)::BIGINT AS copies, count(*) AS groups FROM (SELECT o_custkey, l_partkey, count(*) AS n FROM ({GRAPH}) WHERE l_partkey IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1")
 def object_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.duplicates(pdf.objects(corpus.customers(spark, sf_dir)))
+    found = graph.file_duplicates(corpus.customers(spark, sf_dir))
     return found.groupBy("file_id").agg(F.count("*").alias("copies"), F.count_distinct("canonical").alias("groups"))
 
 
