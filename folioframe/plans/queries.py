@@ -402,12 +402,8 @@ def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   (count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) + 2 * count(CASE WHEN o_orderstatus = 'F' THEN l_partkey END))::BIGINT AS n_lost FROM ({GRAPH}) GROUP BY 1"""
 )
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folioframe.plans.session import cut
-
-    found = cut(pdf.objects(corpus.customers(spark, sf_dir)).drop("raw"))
-    live = graph.reachable(found.where("type = 'Catalog'"), pdf.refs(found)).withColumn("live", F.lit(1))
-    marked = found.join(live, ["file_id", "obj_num"], "left")
-    return marked.groupBy("file_id").agg(F.count("live").alias("n_reachable"), (F.count("*") - F.count("live")).alias("n_lost"))
+    marked = graph.file_reachable(corpus.customers(spark, sf_dir))
+    return marked.groupBy("file_id").agg(F.count_if("live").alias("n_reachable"), F.count_if(~F.col("live")).alias("n_lost"))
 
 
 @query(f"SELECT o_custkey AS file_id, sum(n)::BIGINT AS copies, count(*) AS groups FROM (SELECT o_custkey, l_partkey, count(*) AS n FROM ({GRAPH}) WHERE l_partkey IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1")
