@@ -390,8 +390,7 @@ GRAPH = "SELECT o_custkey, o_orderkey, o_orderstatus, l_linenumber, l_partkey FR
 
 @query(f"SELECT o_custkey AS file_id, count(l_partkey) AS part_refs, count(l_partkey) AS line_refs, (count(l_partkey) + count(DISTINCT CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END))::BIGINT AS order_refs FROM ({GRAPH}) GROUP BY 1")
 def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pdf.objects(corpus.customers(spark, sf_dir))
-    counted = graph.reference_counts(found, pdf.refs(found)).join(found.select("file_id", "obj_num", "type"), ["file_id", "obj_num"])
+    counted = graph.file_reference_counts(corpus.customers(spark, sf_dir))
     total = lambda t: F.coalesce(F.sum(F.when(F.col("type") == t, F.col("n_refs"))), F.lit(0)).alias(f"{t.lower()}_refs")
     return counted.groupBy("file_id").agg(total("Part"), total("Line"), total("Order"))
 
