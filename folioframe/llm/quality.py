@@ -2,8 +2,8 @@
 
 The model is over 4-grams of UTF-8 bytes, which pack into 32 bits: no word list, no
 language-specific tokens, and prefixes and suffixes are shifts. It is trained on half of
-the trusted documents (by hash of the id, at most ``sample`` of them, whose ids are the
-only thing broadcast); counts, continuation counts and discounts are aggregates. Each
+the trusted documents (by hash of the id), all of them; texts that a bitmap of fixed size
+shows not to be trusted are not shuffled. Counts, continuation counts and discounts are aggregates. Each
 4-gram type of the corpus gets its probability by joins of count tables, sharded by
 n-gram or context. Documents join with the scored types in packed blocks (see
 ``blocks``), which gives two measures of each text:
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.blocks import join_blocks, named, pack_blocks, pack_table, shard_bits, text_bytes
-from folioframe.llm.filters import without
+from folioframe.llm.filters import marked_by, without
 from folioframe.llm.scratch import Scratch, cut
 from folioframe.llm.textblocks import buffers, doc_ranges
 
@@ -206,22 +206,22 @@ def classify_quality(
     text_col: str = "text",
     lang_col: str = "lang",
     quantile: float = 0.999,
-    sample: int = 20_000,
 ) -> DataFrame:
     """Per document ``doc_id, lang, n_bytes, perplexity, threshold, surprise, most_surprise, kept``.
 
-    ``trusted`` lists the ids of trusted documents in its first column; ``sample`` bounds
-    how many of them the model is trained on, in order of a hash of the id.
+    ``trusted`` lists the ids of trusted documents in its first column.
     """
-    if not 0 < quantile <= 1 or sample < 1:
-        raise ValueError("quantile must be in (0, 1] and sample positive")
+    if not 0 < quantile <= 1:
+        raise ValueError("quantile must be in (0, 1]")
     order = F.xxhash64(F.col("t_id"), F.lit(5))
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("t_id")).where("t_id is not null").distinct()
     half = F.pmod(order, F.lit(2))
-    chosen = ids.where(half == 0).orderBy(order, "t_id").limit(sample)  # at most ``sample`` ids
+    chosen = ids.where(half == 0)
     texts = named(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
     with Scratch(docs.sparkSession) as scratch:
-        marked = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("t"))
+        sure, doubtful = marked_by(texts.select("doc_id", "text"), chosen, "doc_id")
+        doubtful = doubtful.join(chosen, F.col("doc_id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("t"))
+        marked = sure.select("text", F.lit(False).alias("t")).unionByName(doubtful)
         types = marked.mapInArrow(_type_counts, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
         types = scratch.put(types, "types")
         model = kneser_ney(types, scratch)
