@@ -441,7 +441,7 @@ def effective_dpi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS file_id, v.obj_num::BIGINT AS obj_num, (8 + p_partkey % 40)::INTEGER AS width, (2 + p_size % 5)::INTEGER AS height, 'DeviceGray' AS color_space, true AS gray FROM part, (VALUES (50), (51)) v(obj_num)")
 def image_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = images.image_table(pdf.objects(corpus.images(spark, sf_dir)))
+    found = images.file_image_table(corpus.images(spark, sf_dir))
     return found.select("file_id", "obj_num", "width", "height", "color_space", "gray")
 
 

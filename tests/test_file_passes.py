@@ -3,7 +3,7 @@
 import pytest
 
 from folioframe.functions.cos import Hex, Name, ParseError, Ref, parse, write
-from folioframe.operators import graph
+from folioframe.operators import graph, images
 from folioframe.plans import queries as plans
 from folioframe.sources import corpus, pdf
 
@@ -49,3 +49,18 @@ def test_dictionaries():
     for bad in (b"<</A 1 2 Rx>>", b"<</A/B", b"<</A foo>>"):
         with pytest.raises(ParseError):
             parse(bad)
+
+
+@pytest.mark.parametrize("made", [corpus.images, corpus.layered_images])
+def test_images(spark, sf, made):
+    files = made(spark, sf)
+    columns = images.image_table(pdf.objects(files)).columns
+    plain = lambda df: sorted(map(repr, df.select(columns).collect()))
+    want = plain(images.image_table(pdf.objects(files)))
+    assert want and plain(images.file_image_table(files)) == want
+
+
+@pytest.mark.parametrize("name", ["image_inventory", "image_layers"])
+def test_no_image_is_joined(spark, sf, name):
+    plan = plans.queries()[name](spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
