@@ -682,7 +682,7 @@ FROM part, (VALUES (50, 'DeviceRGB', true, 6), (51, 'ICCBased', false, 2), (52,
 )
 def image_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images with soft masks, profiles and palettes, exported; the kind of a PNG is the byte that names its channels."""
-    found = images.image_table(pdf.objects(corpus.layered_images(spark, sf_dir)))
+    found = images.file_image_table(corpus.layered_images(spark, sf_dir))
     kind = F.conv(F.hex(F.substring("png", 26, 1)), 16, 10).cast("int")
     return found.select("file_id", "obj_num", "color_space", "alpha", kind.alias("png_kind"), "gray")
 
