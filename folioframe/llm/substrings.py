@@ -11,7 +11,9 @@ stands in different spans, the match ends inside a run; for those runs alone, ea
 around the anchor is hashed and the smallest document of each is found. Adjoining
 windows merge into maximal repeats, which are removed from all later documents.
 
-Sums of work are linear in the words: groups are reduced by ``min``, never paired up.
+Sums of work are linear in the words: groups are reduced by ``min``, never paired up. Of
+the texts that a task works on at once, a span that many hold is one row with all of them,
+so the rows of a passage that most texts hold are as many as these chunks, not as the texts.
 
 Texts are not shuffled but for those that may hold a repeat, as a bitmap of fixed size shows.
 
@@ -30,6 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -93,34 +97,81 @@ def span_hashes(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray
     return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 
 
-_RUNS = "doc_id long, mark int, anchor long, span long, first int, length int"
+_RUNS = "chunk long, doc_id long, mark int, anchor long, span long, first int, length int, n int, others array<struct<doc_id: long, mark: int, first: int>>"
 
 
 def _runs(window: int, k: int):
+    """Runs; of those of a chunk with one span, that of the smallest document holds those of larger ones as ``others``."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = (task.partitionId() if (task := TaskContext.get()) else 0) << 32
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             for words in chunks(batch.column(2), CHUNK):
                 first, length, offset, anchor = anchored_runs(words, window, k)
                 if not len(first):
                     continue
+                chunk += 1
                 doc = np.searchsorted(words.offsets, first, side="right") - 1
                 span = span_hashes(words, first, first + length + window - 1) ^ mix(offset.astype(np.uint64))
+                own, first = ids[words.lo + doc], first - words.offsets[doc]
+                order = np.lexsort((own, length, span, anchor))
+                own, mark, anchor, span = own[order], marks[words.lo + doc][order], anchor[order], span[order]
+                first, length = first[order].astype(np.int32), length[order].astype(np.int32)
+                new = np.ones(len(order), bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1]) | (length[1:] != length[:-1])
+                least = np.flatnonzero(new)[np.cumsum(new) - 1]
+                held = own > own[least]
+                behind = np.bincount(least[held], minlength=len(order))[~held]
+                others = pa.StructArray.from_arrays([pa.array(x[held]) for x in (own, mark, first)], ["doc_id", "mark", "first"])
+                bounds = pa.array(np.append(0, np.cumsum(behind)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[words.lo + doc], pa.int64()),
-                        pa.array(marks[words.lo + doc]),
-                        as_long(anchor),
-                        as_long(span),
-                        pa.array((first - words.offsets[doc]).astype(np.int32)),
-                        pa.array(length.astype(np.int32)),
+                        pa.array(np.full(len(behind), chunk), pa.int64()),
+                        pa.array(own[~held], pa.int64()),
+                        pa.array(mark[~held]),
+                        as_long(anchor[~held]),
+                        as_long(span[~held]),
+                        pa.array(first[~held]),
+                        pa.array(length[~held]),
+                        pa.array((1 + behind).astype(np.int32)),
+                        pa.ListArray.from_arrays(bounds, others, mask=pa.array(behind == 0)),
                     ],
-                    ["doc_id", "mark", "anchor", "span", "first", "length"],
+                    ["chunk", "doc_id", "mark", "anchor", "span", "first", "length", "n", "others"],
                 )
 
     return emit
 
 
+_SPANS = "doc_id long, mark int, first int, last int"
+
+
+def _merged(window: int):
+    """Spans of the runs of a chunk that stand in a smaller document too; spans of a text that meet are one."""
+
+    def merge(runs: pa.Table) -> pa.Table:
+        runs = runs.combine_chunks()
+        columns = {c: runs[c].to_numpy() for c in ("doc_id", "mark", "first", "length", "owner")}
+        gone = columns["doc_id"] > columns["owner"]
+        listed = pa.concat_arrays(runs["others"].chunks) if runs["others"].num_chunks else pa.array([], runs["others"].type)
+        others, of = listed.flatten(), pc.list_parent_indices(listed).to_numpy()
+        doc, mark, first = (np.append(columns[c][gone], others.field(c).to_numpy(zero_copy_only=False)) for c in ("doc_id", "mark", "first"))
+        last = first + np.append(columns["length"][gone], columns["length"][of]) + (window - 1)
+        order = np.lexsort((first, mark, doc))
+        doc, mark, first, last = doc[order], mark[order], first[order].astype(np.int64), last[order].astype(np.int64)
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+        shift = np.cumsum(new) << 32  # so that no text's spans meet another's
+        reach = np.maximum.accumulate(last + shift)
+        new[1:] |= first[1:] + shift[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        last = (np.maximum.reduceat(last, at) if len(at) else last).astype(np.int32)
+        columns = [pa.array(doc[at], pa.int64()), pa.array(mark[at], pa.int32()), pa.array(first[at].astype(np.int32)), pa.array(last)]
+        return pa.Table.from_arrays(columns, ["doc_id", "mark", "first", "last"])
+
+    return merge
+
+
 _WINDOWS = "anchor long, hash long, doc_id long, mark int, start int"
 
 
@@ -174,13 +225,14 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).alias("text")).where("doc_id is not null")
     with Scratch(docs.sparkSession) as scratch:
         runs = scratch.put(texts.mapInArrow(_runs(window, k), _RUNS), "runs")
-        spans = runs.groupBy("anchor", "span").agg(F.min("doc_id").alias("owner"), F.count("*").alias("runs"))
+        spans = runs.groupBy("anchor", "span").agg(F.min("doc_id").alias("owner"), F.sum("n").alias("runs"))
         anchors = spans.groupBy("anchor").agg(F.count("*").alias("spans"), F.sum("runs").alias("all_runs"))
         shared = anchors.where("all_runs > 1").select("anchor", "spans")
         groups = scratch.put_clean(spans.join(shared, "anchor").where("runs > 1 or spans > 1"), "groups")
-        found = scratch.put_clean(runs.join(groups, ["anchor", "span"]), "found")
+        found = scratch.put_clean(runs.drop("n").join(groups, ["anchor", "span"]), "found")
         scratch.drop("runs")
-        whole = found.where("doc_id > owner").select("doc_id", "mark", "first", (F.col("first") + F.col("length") + (window - 1)).alias("last"))
+        whole = found.where("doc_id > owner or others is not null").select("chunk", "doc_id", "mark", "first", "length", "owner", "others")
+        whole = whole.groupBy("chunk").applyInArrow(_merged(window), _SPANS)
         contested = found.where("doc_id = owner and spans > 1").groupBy("doc_id", "mark")
         contested = contested.agg(F.collect_set(F.struct("first", "length", "anchor")).alias("runs"))
         contested = scratch.put_clean(contested, "contested")
